@@ -43,6 +43,12 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rindex.repeated(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard
+
+    return jaccard.pairs(table(spark, sf_dir, "documents"))
+
+
 ORACLE: dict[str, str] = {}
 
 
