@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import backoff, mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,13 +50,18 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rindex.repeated(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = backoff.score(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "backed_off", F.round(F.col("log_score") / F.col("n_words"), 6).alias("score"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import jaccard
 
     return jaccard.pairs(table(spark, sf_dir, "documents"))
 
 
-ORACLE: dict[str, str] = {"op5_mixing_weights": mixing.oracle()}
+ORACLE: dict[str, str] = {"op5_mixing_weights": mixing.oracle(), "op9_lm_scoring": backoff.oracle()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
