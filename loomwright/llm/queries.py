@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import neighbours
+
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import automaton
 
@@ -23,7 +29,13 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
-    return bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import edits
+
+    return edits.near(table(spark, sf_dir, "documents"))
 
 
 def op5_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
