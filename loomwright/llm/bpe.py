@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from . import words as W
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-SHARD = 12 << 20
+SHARD = 4 << 20
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 LETTER, NUMBER, SPACE, OTHER = range(4)
 _CACHE: dict[str, Merges] = {}
@@ -247,9 +247,10 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b
 
 
-def encode_documents(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """``docs`` with ``token_ids``, ``n_tokens`` and ``round_trip``: whether decoding the ids gave the text again."""
-    names = docs.columns
+def encode_documents(docs: DataFrame, path: str = VOCABULARY, keep_text: bool = True) -> DataFrame:
+    """``docs`` (without the text unless ``keep_text``) with ``token_ids``, ``n_tokens`` and ``round_trip``: whether decoding the ids gave the text again."""
+    kept = [f for f in docs.schema.fields if keep_text or f.name != "text"]
+    names = [f.name for f in kept]
     extra = [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,9 +265,9 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 same = np.array([np.array_equal(back[boff[i] : boff[i + 1]], data[off[i] : off[i + 1]]) for i in range(len(batch))])
             null = np.array(batch["text"].is_null())
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=pa.array(null))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(np.diff(at), mask=null), pa.array(same, mask=null)], [*names, *(f.name for f in extra)])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), lists, pa.array(np.diff(at), mask=null), pa.array(same, mask=null)], [*names, *(f.name for f in extra)])
 
-    return docs.mapInArrow(apply, T.StructType([*docs.schema.fields, *extra]))
+    return docs.mapInArrow(apply, T.StructType([*kept, *extra]))
 
 
 def decode_documents(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
