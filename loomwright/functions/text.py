@@ -74,7 +74,7 @@ def lines_sql(expr: str) -> str:
     """C11-C14 of an expression in DuckDB."""
     line = r"regexp_replace(l, '^\s+|\s+$', '', 'g')"
     noise = " OR ".join([rf"(length(regexp_replace(s, '{NOT_ALNUM}', '', 'g')) / greatest(length(s), 1) < 0.3 AND length(s) < 20)", *(f"regexp_matches(s, '{p}')" for p in (SEPARATOR_LINE, *PAGE_LINES))])
-    kept = f"list_filter(list_transform(string_split({expr}, chr(10)), l -> {line}), s -> s = '' OR NOT ({noise}))"
+    kept = f"list_filter(list_transform(string_split({expr}, chr(10)), lambda l: {line}), lambda s: s = '' OR NOT ({noise}))"
     return rf"regexp_replace(regexp_replace(array_to_string({kept}, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 
 
@@ -107,7 +107,7 @@ def normalize_markdown(c: Column) -> Column:
 
 def markdown_sql(expr: str) -> str:
     """C15 where no line opens a fence."""
-    lines = rf"list_transform(string_split({expr}, chr(10)), l -> regexp_replace(l, '^\s+|\s+$', '', 'g'))"
+    lines = rf"list_transform(string_split({expr}, chr(10)), lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g'))"
     return rf"regexp_replace(regexp_replace(array_to_string({lines}, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 
 

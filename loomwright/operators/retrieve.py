@@ -31,6 +31,10 @@ def statistics(chunks: DataFrame, text: str = "text", tokenize: Callable[[Column
     return chunks.select(F.size(tokenize(F.col(text))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
+def _is(term: str) -> Callable[[Column], Column]:
+    return lambda x: x == term
+
+
 def bm25(chunks: DataFrame, terms: list[str], key: str, text: str = "text", tokenize: Callable[[Column], Column] = words) -> DataFrame:
     """(key, score) of every row that has a term of the query.
 
@@ -41,7 +45,7 @@ def bm25(chunks: DataFrame, terms: list[str], key: str, text: str = "text", toke
     if not terms:
         return chunks.select(key, F.lit(0.0).alias("score")).limit(0)
     rows = chunks.select(F.col(key), tokenize(F.col(text)).alias("t"))
-    tf = [F.size(F.filter("t", lambda x, q=q: x == q)) for q in terms]
+    tf = [F.size(F.filter("t", _is(q))) for q in terms]
     rows = rows.select(key, F.size("t").alias("dl"), F.array(*tf).alias("tf"))
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col("tf")[k] > 0).cast("int")).alias(f"df{k}") for k in range(len(terms))])
     hit = rows.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # one row
