@@ -7,7 +7,8 @@ whole documents of about ``SHARD`` bytes, so no shuffle is needed.
 
 Cases: a null text gives null ids, an empty one an empty list; the strings of
 special tokens are ordinary text; repeated rows are encoded alike; bytes that
-are no UTF-8 can't occur in a string column.  Other columns pass through.
+are no UTF-8 can't occur in a string column.  Other columns pass through; those
+called like a column of the result are replaced by it.
 """
 
 from __future__ import annotations
@@ -249,6 +250,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def encode_documents(docs: DataFrame, path: str = VOCABULARY, keep_text: bool = True) -> DataFrame:
     """``docs`` (without the text unless ``keep_text``) with ``token_ids``, ``n_tokens`` and ``round_trip``: whether decoding the ids gave the text again."""
+    docs = docs.drop("token_ids", "n_tokens", "round_trip")
     kept = [f for f in docs.schema.fields if keep_text or f.name != "text"]
     names = [f.name for f in kept]
     extra = [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())]

@@ -2,7 +2,8 @@
 
 Cases: null and empty texts, and texts with fewer than ``MIN_GRAMS`` letters,
 get language ``und`` and are not accepted; languages tie by name; with no
-labelled row every document is ``und``.  Only the columns named are read.
+labelled row every document is ``und``.  Other columns pass through; those
+called like a column of the result are replaced by it.
 """
 
 from __future__ import annotations
@@ -191,6 +192,7 @@ def train(docs: DataFrame, sample: int = 400, reject: float = 4.0) -> dict | Non
 
 def identify(docs: DataFrame, sample: int = 400) -> DataFrame:
     """``docs`` with ``lang_id``, ``cross_entropy`` (nats a symbol), ``margin`` to the second language and ``lang_accepted``."""
+    docs = docs.drop("lang_id", "cross_entropy", "margin", "lang_accepted")
     model = train(docs.select("doc_id", "lang", "text"), sample)
     extra = [T.StructField("lang_id", T.StringType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("margin", T.DoubleType()), T.StructField("lang_accepted", T.BooleanType())]
     if model is None:

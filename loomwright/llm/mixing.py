@@ -7,7 +7,7 @@ probability that its cell's raked weight asks for.
 Cases: nulls in source or language are a value of their own (``?``); documents
 without words have weight 0 and are kept with the probability of their cell; a
 null id is drawn as id -1; rows of the same id are drawn alike; an empty table
-gives an empty sample.  Extra columns pass through.
+gives an empty sample.  Other columns pass through.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import store
+
 ROUNDS = 40
 DAMPING = 0.8
 SHARE = 0.85
@@ -84,27 +86,32 @@ def weigh(docs: DataFrame, share: float = SHARE, topic: Column | None = None, go
     """``docs`` with ``mix_tokens``, ``mix_topic`` and ``mix_p``, the probability of being kept.
 
     Cells are metadata (sources x languages x topics); their number is checked
-    before they come to the driver.
+    before they come to the driver.  Columns of those names are replaced.
     """
+    docs = docs.drop("mix_tokens", "mix_topic", "mix_p")
     keyed = docs.withColumns({"mix_tokens": tokens_of(), "mix_topic": topic_of() if topic is None else topic})
-    src, lang = F.coalesce("source", F.lit("?")).alias("mix_source"), F.coalesce("lang", F.lit("?")).alias("mix_lang")
-    sums = keyed.groupBy(src, lang, "mix_topic").agg(F.sum("mix_tokens").alias("n")).orderBy("mix_source", "mix_lang", "mix_topic").limit(CELL_LIMIT + 1).toArrow().to_pydict()
+    src, lang = F.coalesce("source", F.lit("?")), F.coalesce("lang", F.lit("?"))
+    sums = keyed.select(src.alias("s"), lang.alias("l"), F.col("mix_topic").alias("t"), "mix_tokens").groupBy("s", "l", "t").agg(F.sum("mix_tokens").alias("n")).orderBy("s", "l", "t").limit(CELL_LIMIT + 1).toArrow().to_pydict()
     if len(sums["n"]) > CELL_LIMIT:
         raise ValueError("too many cells of source, language and topic to rake on the driver")
-    cells = [sums["mix_source"], sums["mix_lang"], sums["mix_topic"]]
+    cells = [sums["s"], sums["l"], sums["t"]]
     n = np.array(sums["n"], float)
     if not len(n):
         return keyed.withColumn("mix_p", F.lit(1.0))
     w = rake(cells, n, goal or targets(cells, n))
     p = probabilities(n, w, share)
-    table = docs.sparkSession.createDataFrame([(a, b, c, float(x)) for a, b, c, x in zip(*cells, p)], "_s string, _l string, _t int, mix_p double")
-    found = keyed.join(F.broadcast(table), (F.coalesce("source", F.lit("?")) == F.col("_s")) & (F.coalesce("lang", F.lit("?")) == F.col("_l")) & (F.col("mix_topic") == F.col("_t")), "left")
-    return found.drop("_s", "_l", "_t")
+    a, b, c, q = store.fresh(keyed, "cell_s", "cell_l", "cell_t", "cell_p")
+    table = docs.sparkSession.createDataFrame([(s, l, t, float(x)) for s, l, t, x in zip(*cells, p)], f"{a} string, {b} string, {c} int, {q} double")
+    found = keyed.join(F.broadcast(table), (src == table[a]) & (lang == table[b]) & (F.col("mix_topic") == table[c]), "left")  # at most CELL_LIMIT rows
+    return found.withColumn("mix_p", F.col(q)).drop(a, b, c, q)
 
 
 def sample(docs: DataFrame, share: float = SHARE) -> DataFrame:
-    """The documents drawn, columns unchanged; the same ids are drawn on every run."""
-    return weigh(docs, share).where(uniform() < F.col("mix_p")).drop("mix_tokens", "mix_topic", "mix_p")
+    """The documents drawn, all columns unchanged; the same ids are drawn on every run."""
+    mine = ("mix_tokens", "mix_topic", "mix_p")
+    renamed = {c: n for c, n in zip(mine, store.fresh(docs, *mine)) if c != n}
+    rows = weigh(docs.withColumnsRenamed(renamed), share).where(uniform() < F.col("mix_p")).drop(*mine)
+    return rows.withColumnsRenamed({n: c for c, n in renamed.items()})
 
 
 def oracle(documents: str = "documents", rounds: int = ROUNDS) -> str:

@@ -2,8 +2,8 @@
 
 Cases: a null text counts as empty; a null language or source is a value of its
 own; repeated rows are scored alike; with no labelled document of both kinds
-every document is kept with score 1.  Only the columns named are read, so extra
-columns of any name do no harm.
+every document is kept with score 1.  Other columns pass through; those called
+like a column of the result are replaced by it.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import store
 from . import words as W
 
 WORD_BITS = 18
@@ -176,6 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, clean_loss: fl
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> DataFrame:
     """``docs`` with ``quality_score`` (a probability) and ``quality_keep``; no shuffle, one pass over the texts."""
+    docs = docs.drop("quality_score", "quality_keep")
     model = train(docs, labels, sample)
     if model is None:
         return docs.withColumns({"quality_score": F.lit(1.0), "quality_keep": F.lit(True)})
@@ -198,5 +200,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> DataFram
 
 
 def kept(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> DataFrame:
-    """The documents that the classifier keeps, columns unchanged."""
-    return classify(docs, labels, sample).where("quality_keep").drop("quality_score", "quality_keep")
+    """The documents that the classifier keeps, all columns unchanged."""
+    renamed = {c: n for c, n in zip(("quality_score", "quality_keep"), store.fresh(docs, "quality_score", "quality_keep")) if c != n}
+    rows = classify(docs.withColumnsRenamed(renamed), labels, sample).where("quality_keep").drop("quality_score", "quality_keep")
+    return rows.withColumnsRenamed({n: c for c, n in renamed.items()})

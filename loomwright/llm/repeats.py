@@ -157,13 +157,14 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     The blanks after a removed run go with it.  ``n_chars`` follows where it exists; a document of which nothing is left goes.
     """
-    lists = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.array_agg(F.struct("start_word", "n_words"))).alias("_spans"))
-    joined = docs.join(lists, docs["doc_id"] == F.col("_id"), "left").drop("_id")
+    key, cut = store.fresh(docs, "cut_id", "cuts")
+    lists = spans.groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.array_agg(F.struct("start_word", "n_words"))).alias(cut))
+    joined = docs.join(lists, docs["doc_id"] == lists[key], "left").drop(key)
     names = docs.columns
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cuts = batch["_spans"].to_pylist()
+            cuts = batch[cut].to_pylist()
             touched = np.array([c is not None for c in cuts], bool)
             if not touched.any():
                 yield pa.RecordBatch.from_arrays([batch[c] for c in names], names)

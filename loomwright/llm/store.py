@@ -28,6 +28,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where ``df`` has a column called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table that :func:`cut` returned, once nothing reads it any more."""
     files = df.inputFiles()
