@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, words
 from ..functions.vectors import literal, similarity
 
-STOP = "this that these those the a an and or of in on at to for from by with as is are was were be been do does did i we you it me my our us please".split()
-STOP_WORDS = [w for w in STOP if w != "us"]
+STOP_WORDS = "this that these those the a an and or of in on at to for from by with as is are was were be been do does did i we you it me my our please".split()
 CUT, DESC, EXAMPLES = 0.5, 0.6, 0.4
 
 
@@ -46,7 +47,7 @@ def slug(name: Column) -> Column:
 
 def index_search(skills: DataFrame, query: str, k: int = 5) -> DataFrame:
     """3 a word in the name, 2 a keyword, 2 a tag, 1 a word within the description."""
-    terms = [w.lower() for w in dict.fromkeys(__import__("re").findall(r"\w+", query.lower()))]
+    terms = list(dict.fromkeys(re.findall(r"\w+", query.lower())))
     q = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
     lower = lambda c: F.array_distinct(F.transform(F.coalesce(c, F.array().cast("array<string>")), F.lower))
     size = lambda c: F.size(F.array_intersect(q, c))

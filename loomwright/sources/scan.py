@@ -18,7 +18,10 @@ def hidden(path: Column) -> Column:
 
 
 def files(spark: SparkSession, root: str, recursive: bool = True, suffixes: list[str] | None = None) -> DataFrame:
-    """(source, suffix, mtime, size, content); what a query doesn't select is not read, the content included."""
+    """(source, suffix, mtime, size, content); what a query doesn't select is not read, the content included.
+
+    Files of no bytes are not listed: Spark's reader passes over them.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
     base = root.rstrip("/")
     rel = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), "^" + "".join("\\" + c if not c.isalnum() and c not in "/_-" else c for c in base) + "/", "")
