@@ -32,6 +32,11 @@ PAGE_LINES = (r"^\d{1,4}$", r"^第\s*\d{1,4}\s*页$", r"(?i)^page\s+\d{1,4}$")
 SEPARATOR_LINE = r"^[\-=_*#~]{3,}\s*$"
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` computed once, also where ``f`` is a lambda that runs for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, EDGE, "")
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     """Sum of products in index order, in doubles."""
@@ -22,8 +24,8 @@ def norm(v: Column) -> Column:
 
 def normalize(v: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    n = norm(v)
-    return F.when(n == 0, v.cast("array<double>")).otherwise(F.transform(v, lambda x: x.cast("double") / n))
+    scale = lambda x: let(norm(x), lambda n: F.when(n == 0, x).otherwise(F.transform(x, lambda y: y / n)))
+    return let(v.cast("array<double>"), scale)
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -62,8 +64,7 @@ class Md5Embedding:
         self.tiles = tiles
 
     def documents(self, text: Column) -> Column:
-        h = F.md5(text)
-        one = F.array(*[F.conv(F.substring(h, 2 * k + 1, 2), 16, 10).cast("double") / 255.0 for k in range(16)])
+        one = let(F.md5(text), lambda h: F.array(*[F.conv(F.substring(h, 2 * k + 1, 2), 16, 10).cast("double") / 255.0 for k in range(16)]))
         return F.flatten(F.array_repeat(one, self.tiles)) if self.tiles > 1 else one
 
     queries = documents
@@ -75,7 +76,7 @@ class BigramEmbedding:
     def documents(self, text: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(text, i, 2))
         slots = F.transform(pairs, lambda p: F.conv(F.substring(F.md5(p), 31, 2), 16, 10).cast("int") % 128)
-        counts = F.transform(F.sequence(F.lit(0), F.lit(127)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("double"))
+        counts = let(slots, lambda v: F.transform(F.sequence(F.lit(0), F.lit(127)), lambda k: F.size(F.filter(v, lambda s: s == k)).cast("double")))
         return F.when(F.length(text) > 1, counts).otherwise(F.array_repeat(F.lit(0.0), 128))
 
     queries = documents

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import estimate_tokens, strip
+from ..functions.text import CJK, estimate_tokens, let, strip
 from ..functions.vectors import cosine
 
 SIZE, OVERLAP, LEAST, SHARE = 800, 80, 100, 0.10
@@ -34,27 +34,34 @@ def split_structure(text: Column) -> Column:
 
 
 def _fold(parts: Column, join) -> Column:
-    """Left-to-right packing: ``join(current, next)`` says whether next goes onto current, with a blank line."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("cur"))
+    """Left-to-right packing with a blank line between: ``join(tokens of current, tokens of next)`` says whether next goes onto current.
+
+    Ideographs and lengths are carried along, so no text is counted twice.
+    """
+    tokens = lambda wide, n: (F.floor(wide / 2) + F.floor((n - wide) / 3)).cast("int")
+    counted = F.transform(parts, lambda p: F.struct(p.alias("t"), F.regexp_count(p, F.lit(CJK)).alias("w"), F.length(p).alias("n")))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("cur"), F.lit(0).alias("w"), F.lit(0).alias("n"))
 
     def step(a: Column, p: Column) -> Column:
-        glue = a["cur"].isNotNull() & join(a["cur"], p)
-        return F.struct(
-            F.when(a["cur"].isNull() | glue, a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"]))).alias("done"),
-            F.when(glue, F.concat(a["cur"], F.lit("\n\n"), p)).otherwise(p).alias("cur"),
-        )
+        glue = a["cur"].isNotNull() & join(tokens(a["w"], a["n"]), tokens(p["w"], p["n"]))
+        return let(glue, lambda g: F.struct(
+            F.when(a["cur"].isNull() | g, a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"]))).alias("done"),
+            F.when(g, F.concat(a["cur"], F.lit("\n\n"), p["t"])).otherwise(p["t"]).alias("cur"),
+            F.when(g, a["w"] + p["w"]).otherwise(p["w"]).alias("w"),
+            F.when(g, a["n"] + 2 + p["n"]).otherwise(p["n"]).alias("n"),
+        ))
 
-    return F.aggregate(parts, start, step, lambda a: F.when(a["cur"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"]))))
+    return F.aggregate(counted, start, step, lambda a: F.when(a["cur"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"]))))
 
 
 def group_paragraphs(text: Column, most: int) -> Column:
     """K10 with a limit: paragraphs packed while their estimates stay within it; one paragraph is never cut."""
-    return _fold(split_paragraphs(text), lambda cur, p: estimate_tokens(cur) + estimate_tokens(p) <= most)
+    return _fold(split_paragraphs(text), lambda cur, p: cur + p <= most)
 
 
 def merge_small(chunks: Column, size: int = SIZE, least: int = LEAST) -> Column:
     """The next chunk goes onto one that is below ``least``, if both stay within ``size``."""
-    return _fold(chunks, lambda cur, p: (estimate_tokens(cur) < least) & (estimate_tokens(cur) + estimate_tokens(p) <= size))
+    return _fold(chunks, lambda cur, p: (cur < least) & (cur + p <= size))
 
 
 def tail(text: Column, most: int) -> Column:
@@ -76,11 +83,13 @@ def overlap(chunks: Column, size: int = SIZE, share: float = SHARE, fixed: int =
     if most <= 0:
         return chunks
 
-    def add(c: Column, i: Column) -> Column:
-        before = tail(F.get(chunks, i - 1), most)
-        return F.when((i == 0) | (before == ""), c).otherwise(F.concat(before, F.lit("\n\n"), c))
+    def all_of(cs: Column) -> Column:
+        def add(c: Column, i: Column) -> Column:
+            return F.when(i == 0, c).otherwise(let(tail(F.get(cs, i - 1), most), lambda t: F.when(t == "", c).otherwise(F.concat(t, F.lit("\n\n"), c))))
+
+        return F.transform(cs, add)
 
-    return F.transform(chunks, add)
+    return let(chunks, all_of)
 
 
 def hybrid(text: Column, size: int = SIZE, least: int = LEAST, share: float = SHARE, fixed: int = OVERLAP) -> Column:
@@ -191,15 +200,15 @@ def recursive(text: Column, size: int = SIZE, back: int = OVERLAP, separators: t
     return run(text)
 
 
-def strict(text: Column, size: int = SIZE, back: int = OVERLAP) -> Column:
-    """K08 with chunks over ``size`` cut by the window splitter, so that none exceeds it."""
+def strict(chunks: Column, size: int = SIZE, back: int = OVERLAP) -> Column:
+    """Chunks (a stored column, not an expression: lambdas can't go into a Python UDF) of which those over ``size`` are cut by the window splitter, so that none exceeds it."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in it:
             yield s.map(lambda cs: [p for c in cs for p in ([c] if _cost(c) <= size else split_window(c, size, back))])
 
-    return run(hybrid(text, size))
+    return run(chunks)
 
 
 SENTENCE_END = r"(?<=\. |! |\? |\n|[。！？；，])"
