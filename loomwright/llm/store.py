@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -14,8 +15,10 @@ def folder(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one is set only where none is configured (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="loomwright-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="loomwright-")
+        path = _OWN[app]
     return path.rstrip("/")
 
 
