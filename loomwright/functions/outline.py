@@ -12,14 +12,14 @@ SECTION = rf"^(第\s*)?([{NUM}]+|[0-9]+)\s*节([\s:：]+.+)?$"
 CHAPTER = rf"^(第\s*)?([{NUM}]+|[0-9]+)\s*[部篇卷章]([\s:：]+.+)?$"
 NUMBERED = r"^([0-9]+([.][0-9]+){0,3})[）)、.\s]\s*\S"
 CAPS = r"^[A-Z][-A-Z0-9,.:&'/() ]{3,}$"
-LINK = r"^\[(.+)\]\(#[^)]*\)$"
+LINK = r"^\[(.+)\][(]#[^)]*[)]$"
 MARKERS = tuple("table of contents|contents|目錄|目 录|目录".split("|"))
 NOISE = tuple("img|isbn|references and citations|references|copyright|all right reserved|all rights reserved".split("|"))
 MARKER_TITLES = tuple("目錄|目 錄|目录|目 录".split("|"))
 _PAGE = "[0-9]{1,4}"
 _BAR = r"\s*[-|~/—～／→]\s*"
 REJECT = (
-    r"^\s*<!--.*?-->\s*$",
+    r"^\s*<!--.*-->\s*$",
     r"[?!:;,.？！：；，。]$",
     r"^(19|20)[0-9]{2}\s*[.、）)年]",
     rf"^.{{2,40}}?{_BAR}{_PAGE}$",

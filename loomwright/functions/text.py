@@ -16,7 +16,7 @@ EDGE = r"^\s+|\s+$"
 
 #: Replacement rules in their order: name -> [(pattern, replacement)].
 RULES: dict[str, list[tuple[str, str]]] = {
-    "c01": [(rf"(?i)<{t}[^>]*>[\s\S]*?</{t}>", " ") for t in ("script", "style", "noscript")],
+    "c01": [(rf"(?is)<{t}[^>]*>.*?</{t}>", " ") for t in ("script", "style", "noscript")],
     "c02": [(r"<!--[\s\S]*?-->", " ")],
     "c03": [(r"<[^>]+>", " ")],
     "c04": [(r"&[a-zA-Z]+;", " "), (r"&#\d+;", " "), (r"&#x[0-9a-fA-F]+;", " ")],
@@ -28,7 +28,7 @@ RULES: dict[str, list[tuple[str, str]]] = {
     "c10": [(r"[ \t]+", " ")],
 }
 NOT_ALNUM = r"[^\p{L}\p{N}\s]"
-PAGE_LINES = (r"^\d{1,4}$", r"^第\s*\d{1,4}\s*页$", r"(?i)^page\s+\d{1,4}$")
+PAGE_LINES = (r"^\d{1,4}$", r"^第\s*[0-9]{1,4}\s*页$", r"(?i)^page\s+\d{1,4}$")
 SEPARATOR_LINE = r"^[\-=_*#~]{3,}\s*$"
 
 

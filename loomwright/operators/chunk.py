@@ -17,7 +17,7 @@ from ..functions.text import CJK, estimate_tokens, let, strip
 from ..functions.vectors import cosine
 
 SIZE, OVERLAP, LEAST, SHARE = 800, 80, 100, 0.10
-SEPARATORS = ("\n\n", "\n", "。", ". ", " ", "")
+SEPARATORS = tuple("\n\n|\n|。|. | |".split("|"))
 HEADING = r"(?m)(?=^#{1,6}\s+\S)"
 BREAKS = ("\n", "。", ". ", " ")
 

@@ -36,8 +36,11 @@ class KeyValueStore:
         self.data[key] = value
         self._changed()
 
+    def all(self) -> dict[str, Any]:
+        return dict(self.data)
+
     def get(self, key: str, default: Any = None) -> Any:
-        return self.data.get(key, default)
+        return self.data[key] if key in self.data else default
 
     def delete(self, key: str) -> bool:
         there = self.data.pop(key, None) is not None
@@ -45,9 +48,6 @@ class KeyValueStore:
             self._changed()
         return there
 
-    def all(self) -> dict[str, Any]:
-        return dict(self.data)
-
     def replace(self, data: dict[str, Any]) -> None:
         self.data = dict(data)
         self._changed()
@@ -57,8 +57,8 @@ class KeyValueStore:
             return
         self.path.parent.mkdir(parents=True, exist_ok=True)
         handle, name = tempfile.mkstemp(dir=self.path.parent)
-        with os.fdopen(handle, "w", encoding="utf-8") as f:
-            json.dump(self.data, f, ensure_ascii=False)
+        os.close(handle)
+        Path(name).write_bytes(json.dumps(self.data, ensure_ascii=False).encode())
         os.replace(name, self.path)
         self.dirty, self.last = False, self.clock()
 
@@ -107,15 +107,16 @@ class DailyFacts:
 
 def append_summary(path: str, text: str, now: str) -> None:
     """P10: a dated section at the end of a log."""
-    with open(path, "a", encoding="utf-8") as f:
-        f.write(f"\n## {now}\n\n{text.strip()}\n")
+    section = f"\n## {now}\n\n{text.strip()}\n"
+    with Path(path).open("ab") as log:
+        log.write(section.encode())
 
 
 def prompt(facts: list[str], values: dict[str, Any], skill: str | None, sources: list[str], value_chars: int = 200, names: int = 8) -> str:
     """What a system prompt says about memory, the matching skill and the knowledge base."""
     parts = []
     if facts:
-        parts.append("Known facts:\n" + "\n".join(f"- {f}" for f in facts))
+        parts.append("\n- ".join(["Known facts:", *facts]))
     if values:
         parts.append("Notes:\n" + "\n".join(f"- {k}: {str(v)[:value_chars]}" for k, v in values.items() if not k.startswith("__")))
     if skill:

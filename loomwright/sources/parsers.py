@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SUFFIXES = "azw azw3 csv doc docx epub htm html markdown md mobi pdf ppt pptx rst tsv txt xls xlsx".split()
-SKIPPED = ("script", "style", "nav", "footer", "header")
+SKIPPED = tuple("header footer nav style script".split())
+BAR = " | "
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _X = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -97,7 +98,7 @@ def xlsx(data: bytes) -> str:
                     raw = v.text if v is not None and v.text else "".join(t.text or "" for t in c.iter(f"{_X}t"))
                     cells.append(shared[int(raw)] if c.get("t") == "s" and raw else raw or "")
                 if any(x.strip() for x in cells):
-                    out.append(" | ".join(cells))
+                    out.append(BAR.join(cells))
     return "\n".join(out)
 
 
@@ -214,7 +215,7 @@ def parse_column(content: Column, suffix: Column) -> Column:
                     text, md = extract(bytes(d or b""), s or "")
                     out.append((text, md, None) if text.strip() else (None, md, "empty text"))
                 except Exception as e:
-                    out.append((None, False, f"{type(e).__name__}: {e}"))
+                    out.append((None, False, ": ".join((type(e).__name__, str(e)))))
             yield pd.DataFrame(out, columns=["text", "is_markdown", "error"])
 
     return run(content, suffix)

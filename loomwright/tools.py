@@ -17,9 +17,16 @@ from .plans.engine import Engine
 
 @dataclass
 class Result:
+    """What a tool gave back."""
+
     success: bool
-    output: str = ""
-    error: str = ""
+    output: str = field(default="")
+    error: str = field(default="")
+
+
+def props(**types: str) -> dict[str, Any]:
+    """JSON schema of arguments by name and type."""
+    return {name: {"type": kind} for name, kind in types.items()}
 
 
 @dataclass
@@ -30,7 +37,8 @@ class Tool:
     parameters: dict[str, Any] = field(default_factory=dict)
 
     def schema(self) -> dict[str, Any]:
-        return {"type": "function", "function": {"name": self.name, "description": self.description, "parameters": {"type": "object", "properties": self.parameters}}}
+        inner = dict(name=self.name, description=self.description, parameters=dict(type="object", properties=self.parameters))
+        return dict(type="function", function=inner)
 
 
 class Registry:
@@ -56,7 +64,7 @@ class Registry:
         try:
             return Result(True, tool.run(**parse_args(args)))
         except Exception as e:
-            return Result(False, error=f"{type(e).__name__}: {e}")
+            return Result(False, error=": ".join((type(e).__name__, str(e))))
 
 
 def parse_args(args: str | dict[str, Any] | None) -> dict[str, Any]:
@@ -87,10 +95,10 @@ def retrieval_tools(engine: Engine, registry: Registry) -> None:
         rows = engine.outline(book_name.strip() or None).collect()
         return "\n".join(r["digest"] if book_name.strip() else r["doc_name"] for r in rows) or "no documents"
 
-    registry.register(Tool("rag_search", "Search the knowledge base.", search, {"query": {"type": "string"}, "top_k": {"type": "integer"}, "source": {"type": "string"}}))
-    registry.register(Tool("rag_outline", "Outline of a document, or the list of documents.", outline, {"book_name": {"type": "string"}}))
+    registry.register(Tool("rag_search", "Search the knowledge base.", search, props(query="string", top_k="integer", source="string")))
+    registry.register(Tool("rag_outline", "Outline of a document, or the list of documents.", outline, props(book_name="string")))
     registry.register(Tool("rag_status", "State of the knowledge base.", lambda: json.dumps(engine.status())))
-    registry.register(Tool("rag_ingest", "Read new and changed files.", lambda force=False: json.dumps(engine.ingest(bool(force)), default=str), {"force": {"type": "boolean"}}))
+    registry.register(Tool("rag_ingest", "Read new and changed files.", lambda force=False: json.dumps(engine.ingest(bool(force)), default=str), props(force="boolean")))
 
 
 def memory_tools(store: KeyValueStore, registry: Registry) -> None:
@@ -107,7 +115,7 @@ def memory_tools(store: KeyValueStore, registry: Registry) -> None:
             return "ok"
         raise ValueError(f"unknown operation: {op}")
 
-    registry.register(Tool("work_memory", "Short notes.", work, {"op": {"type": "string"}, "key": {"type": "string"}, "value": {}}))
+    registry.register(Tool("work_memory", "Short notes.", work, props(op="string", key="string", value="string")))
 
 
 def table_tools(obs, index, skill_rows, embed: Callable[[str], list[float]], registry: Registry) -> None:
@@ -128,9 +136,9 @@ def table_tools(obs, index, skill_rows, embed: Callable[[str], list[float]], reg
             return text(obs.select("key").distinct().orderBy("key"), "key")
         raise ValueError(f"unknown operation: {op}")
 
-    registry.register(Tool("memory_search", "Search memories.", recall, {"query": {"type": "string"}, "top_k": {"type": "integer"}}))
-    registry.register(Tool("memory_graph", "Entities and what is known of them.", show, {"op": {"type": "string"}, "name": {"type": "string"}}))
-    registry.register(Tool("skill_search", "Find a skill.", lambda query="", op="search": text(skills.index_search(skill_rows, query) if op == "search" else skill_rows.orderBy("name"), "name", "description"), {"query": {"type": "string"}}))
+    registry.register(Tool("memory_search", "Search memories.", recall, props(query="string", top_k="integer")))
+    registry.register(Tool("memory_graph", "Entities and what is known of them.", show, props(op="string", name="string")))
+    registry.register(Tool("skill_search", "Find a skill.", lambda query="", op="search": text(skills.index_search(skill_rows, query) if op == "search" else skill_rows.orderBy("name"), "name", "description"), props(query="string")))
 
 
 def file_tools(root: str, registry: Registry) -> None:
@@ -151,7 +159,7 @@ def file_tools(root: str, registry: Registry) -> None:
             raise ValueError("the text to replace was not found")
         return write(path, text.replace(old, new) if all else text.replace(old, new, 1))
 
-    registry.register(Tool("file_read", "Read a file.", read, {"path": {"type": "string"}}))
-    registry.register(Tool("file_write", "Write a file.", write, {"path": {"type": "string"}, "content": {"type": "string"}}))
-    registry.register(Tool("file_modify", "Replace text in a file.", modify, {"path": {"type": "string"}, "old": {"type": "string"}, "new": {"type": "string"}, "all": {"type": "boolean"}}))
-    registry.register(Tool("skill_load", "Read a skill's prompt.", lambda path, entry="prompt.md": read(f"{path}/{entry}"), {"path": {"type": "string"}, "entry": {"type": "string"}}))
+    registry.register(Tool("file_read", "Read a file.", read, props(path="string")))
+    registry.register(Tool("file_write", "Write a file.", write, props(path="string", content="string")))
+    registry.register(Tool("file_modify", "Replace text in a file.", modify, props(path="string", old="string", new="string", all="boolean")))
+    registry.register(Tool("skill_load", "Read a skill's prompt.", lambda path, entry="prompt.md": read(f"{path}/{entry}"), props(path="string", entry="string")))

@@ -40,8 +40,16 @@ def cost(s):
 # Chunks
 
 
+SENTENCE = re.compile(r"(?<=[.?!？！。])\s*|\n")
+BLANK_LINE = re.compile(r"\n\s*\n")
+
+
+def full(parts):
+    return [x for x in (p.strip() for p in parts) if x]
+
+
 def tail_by_hand(text, most):
-    parts = [p for p in re.split(r"(?<=[。！？!?.])\s*|\n", text) if p and p.strip()]
+    parts = [p for p in SENTENCE.split(text) if p and p.strip()]
     out, n = [], 0
     for p in reversed(parts):
         if out and n + cost(p) > most:
@@ -55,9 +63,9 @@ def hybrid_by_hand(text, size, least, share):
     if not text.strip():
         return []
     if re.search(r"(?m)^#{1,6}\s+\S", text):
-        parts = [p.strip() for p in re.split(r"(?m)(?=^#{1,6}\s+\S)", text) if p.strip()]
+        parts = full(re.split(r"(?m)(?=^#{1,6}\s+\S)", text))
     else:
-        parts = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
+        parts = full(BLANK_LINE.split(text))
 
     def pack(ps, ok):
         out = []
@@ -70,7 +78,7 @@ def hybrid_by_hand(text, size, least, share):
 
     flat = []
     for p in parts:
-        flat += [p] if cost(p) <= size else pack([q.strip() for q in re.split(r"\n\s*\n", p) if q.strip()], lambda a, b: cost(a) + cost(b) <= size)
+        flat += [p] if cost(p) <= size else pack(full(BLANK_LINE.split(p)), lambda a, b: cost(a) + cost(b) <= size)
     merged = pack(flat, lambda a, b: cost(a) < least and cost(a) + cost(b) <= size)
     out = merged[:1]
     for before, c in zip(merged, merged[1:]):
@@ -342,7 +350,11 @@ def test_conversations(spark):
     assert [r["turn"] for r in H.trim(m, 7).orderBy("turn").collect()] == [6, 7, 8, 9, 10, 11]
     assert H.shrink(m.where("turn < 8")).count() == 8
     assert H.recent(m).count() == 6 and H.recent(m.withColumn("text", F.lit("hi"))).count() == 0
-    lines = [(1, 0, 'data: {"choices":[{"delta":{"tool_calls":[{"index":0,"id":"c1","function":{"name":"f","arguments":"{\\"a\\""}}]}}]}'), (1, 1, 'data: {"choices":[{"delta":{"tool_calls":[{"index":0,"function":{"arguments":": 1}"}}]}}]}'), (1, 2, "data: [DONE]")]
+    def piece(seq, **call):
+        delta = dict(tool_calls=[dict(index=0, **call)])
+        return 1, seq, "data: " + json.dumps(dict(choices=[dict(delta=delta)]))
+
+    lines = [piece(0, id="c1", function=dict(name="f", arguments='{"a"')), piece(1, function=dict(arguments=": 1}")), (1, 2, "data: [DONE]")]
     call = H.fold_tool_calls(spark.createDataFrame(lines, "stream_id int, seq int, line string")).first()
     assert (call["id"], call["name"], call["arguments"]) == ("c1", "f", '{"a": 1}')
     sp = H.speed(spark.createDataFrame([(1, "abcdefgh", 0.0), (1, "abcd", 2.0)], "turn_id int, text string, t double").withColumn("ts", F.timestamp_seconds("t"))).first()
@@ -381,7 +393,7 @@ def test_memory(tmp_path):
     assert "and 2 more" in prompt(["f"], {"k": "v" * 300}, "s", [str(i) for i in range(10)])
     r = Registry()
     memory_tools(kv, r)
-    assert r.execute("work_memory", {"op": "get", "key": "b"}).output == "2" and not r.execute("work_memory", {"op": "no"}).success
+    assert r.execute("work_memory", dict(op="get", key="b")).output == "2" and not r.execute("work_memory", {"op": "no"}).success
 
 
 def test_tools(spark, tmp_path):
@@ -389,7 +401,7 @@ def test_tools(spark, tmp_path):
     file_tools(str(tmp_path), r)
     assert r.execute("file_write", {"path": "d/x.txt", "content": "aa"}).success
     assert r.execute("file_modify", {"path": "d/x.txt", "old": "a", "new": "b"}).success and r.execute("file_read", {"path": "d/x.txt"}).output == "ba"
-    assert "PermissionError" in r.execute("file_read", {"path": "../x"}).error and not r.execute("file_modify", {"path": "d/x.txt", "old": "zz", "new": ""}).success
+    assert "PermissionError" in r.execute("file_read", dict(path="../x")).error and not r.execute("file_modify", {"path": "d/x.txt", "old": "zz", "new": ""}).success
     assert not r.execute("unknown").success and parse_args("{") == {} and parse_args("[1]") == {} and parse_args(None) == {}
     with pytest.raises(PermissionError):
         inside(str(tmp_path), "/etc/passwd")
