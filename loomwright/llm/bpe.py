@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from . import words as W
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-SHARD = 4 << 20
+SHARD = 2 << 20
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 LETTER, NUMBER, SPACE, OTHER = range(4)
 _CACHE: dict[str, Merges] = {}

@@ -158,8 +158,9 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
     The blanks after a removed run go with it.  ``n_chars`` follows where it exists; a document of which nothing is left goes.
     """
     key, cut = store.fresh(docs, "cut_id", "cuts")
-    lists = spans.groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.array_agg(F.struct("start_word", "n_words"))).alias(cut))
-    joined = docs.join(lists, docs["doc_id"] == lists[key], "left").drop(key)
+    lists = store.cut(spans.groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.array_agg(F.struct("start_word", "n_words"))).alias(cut)))
+    side = F.broadcast(lists) if store.rows_below(lists, 200_000) else lists  # a row for each document with a span
+    joined = docs.join(side, docs["doc_id"] == side[key], "left").drop(key)
     names = docs.columns
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
