@@ -28,7 +28,8 @@ from . import store
 from . import words as W
 
 SEED = 24
-FIRST_WORDS = 1 << 20
+#: Up to so many anchors (about 10 MB, Spark's own limit by default) go to every task; beyond, documents are shuffled to them.
+BROADCAST_ANCHORS = 500_000
 
 
 def anchors(h: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +83,7 @@ def regions(docs: DataFrame, least: int) -> DataFrame:
     )
     # the span table has a row for each affected document only; it goes to every task where it is small
     count = pool.agg(F.count("*")).first()[0]
-    side = F.broadcast(spans_of) if count <= 200_000 else spans_of
+    side = F.broadcast(spans_of) if count <= BROADCAST_ANCHORS else spans_of
     hit = docs.select("doc_id", "text").join(side, "doc_id")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
