@@ -348,6 +348,47 @@ def test_fingerprints(spark, corpus):
     assert edits.near(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_fingerprints_recall_by_length_and_edits(spark):
+    """Scattered edits, insertions alone, an inserted block, a header and changed words, from short texts to long ones."""
+    rng = random.Random(21)
+
+    def scattered(t, share, insert=False):
+        t = list(t)
+        for _ in range(int(share * len(t))):
+            p, how = rng.randrange(len(t)), 1.0 if insert else rng.random()
+            if how < 0.34:
+                t[p] = rng.choice("abcdef")
+            elif how < 0.67:
+                del t[p]
+            else:
+                t.insert(p, "q")
+        return "".join(t)
+
+    def words(t, share):
+        w = t.split(" ")
+        for p in rng.sample(range(len(w)), int(share * len(w))):
+            w[p] = prose(rng, 1)[0]
+        return " ".join(w)
+
+    ways = {
+        "mixed": lambda t: scattered(t, 0.009), "inserted": lambda t: scattered(t, 0.009, True), "many": lambda t: scattered(t, 0.03), "words": lambda t: words(t, 0.1),
+        "block": lambda t: t[: len(t) // 3] + " " + " ".join(prose(rng, len(t) // 60)) + t[len(t) // 3 :], "header": lambda t: " ".join(prose(rng, max(1, len(t) // 1000))) + " " + t,
+    }
+    texts, true = [], {}
+    for size, pairs in ((150, 12), (2_000, 10), (20_000, 5), (100_000, 1)):
+        for name, change in ways.items():
+            for _ in range(pairs):
+                t = " ".join(prose(rng, size // 5))[:size]
+                true[len(texts), len(texts) + 1] = (size, name)
+                texts += [t, change(t)]
+    got = {(r["doc_a"], r["doc_b"]) for r in edits.near(table(spark, texts)).collect()}
+    assert got <= set(true)
+    for size in (150, 2_000, 20_000, 100_000):
+        for name in ways:
+            mine = [p for p, k in true.items() if k == (size, name)]
+            assert len(got & set(mine)) >= 0.9 * len(mine), (size, name)
+
+
 def test_word_hashes():
     texts = ["a bc  d\n", "", None, " xé ", "a" * 100]
     data, off = W.buffers(pa.array(texts))
