@@ -169,6 +169,23 @@ def test_jaccard_recall(spark):
     assert len(got) >= 0.99 * len(true)
 
 
+def test_jaccard_recall_with_differing_long_tokens(spark):
+    """Near copies that differ in nothing but long tokens."""
+    rng = random.Random(31)
+    texts = []
+    for n in (300, 1000, 2000) * 8:
+        w = prose(rng, n)
+        for _ in range(2):
+            v = list(w)
+            for p in range(16):
+                v[p * n // 16] = "https://a.example/" + "".join(rng.choice("0123456789abcdef") for _ in range(60))
+            texts.append(" ".join(v))
+    true = jaccard_by_hand(texts)
+    got = {(r["doc_a"], r["doc_b"]) for r in jaccard.pairs(table(spark, texts)).collect()}
+    assert len(true) == 24
+    assert got <= set(true) and len(got) >= 0.95 * len(true)
+
+
 def test_bpe_is_the_public_encoding(spark, corpus):
     from tokenizers import Tokenizer
 
