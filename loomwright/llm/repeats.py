@@ -6,11 +6,15 @@ smallest hashes of ``SEED``-word windows in every run of ``least - SEED + 1``
 windows, so two documents that share a passage share an anchor of it.  Only
 documents with an anchor that an earlier document has are compared, within the
 group of that anchor's first document (its owner), so every pair of documents
-that share a passage meets in a group.
+that share a passage meets in a group.  A group with more than ``GROUP`` regions
+(a passage that very many documents hold) is settled by the hashes of all its
+windows of ``least`` words, one row each, so no task gathers it.
 
 Cases: null and empty texts have no words; ties of hashes take the rightmost
 window; documents that repeat a passage only within themselves are not
-repeats; of documents with the same id and text one counts as the first.
+repeats; of documents with the same id and text one counts as the first; texts
+are read whole, however long; extra columns are not read, but kept by
+:func:`remove`; an empty table has an empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +32,8 @@ from . import store
 from . import words as W
 
 SEED = 24
-#: Up to so many anchors (about 10 MB, Spark's own limit by default) go to every task; beyond, documents are shuffled to them.
-BROADCAST_ANCHORS = 500_000
+#: Regions of an owner's group up to which they are compared in one task; larger groups are settled by the hashes of their windows.
+GROUP = 4096
 
 
 def anchors(h: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,34 +80,28 @@ def seeds(docs: DataFrame, least: int) -> DataFrame:
 
 def regions(docs: DataFrame, least: int) -> DataFrame:
     """(owner, doc_id, start, words): word hashes of the regions to compare, a row for each (owner, document, region)."""
-    pool = store.cut(shared(docs, least))
     reach = least - SEED
-    spans_of = (
-        pool.groupBy("doc_id").agg(F.array_distinct(F.array_agg("owner")).alias("owners"), F.array_sort(F.array_agg("at")).alias("at"))
-    )
-    # the span table has a row for each affected document only; it goes to every task where it is small
-    count = pool.agg(F.count("*")).first()[0]
-    side = F.broadcast(spans_of) if count <= BROADCAST_ANCHORS else spans_of
-    hit = docs.select("doc_id", "text").join(side, "doc_id")
+    pool = shared(docs, least).groupBy("doc_id").agg(F.array_sort(F.array_agg(F.struct("at", "owner"))).alias("marks"))
+    hit = docs.select("doc_id", "text").join(pool.select("doc_id", F.col("marks.at").alias("at"), F.col("marks.owner").alias("owners")).hint("merge"), "doc_id")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = W.buffers(batch["text"])
-            ids, owners, ats = batch["doc_id"].to_pylist(), batch["owners"].to_pylist(), batch["at"]
+            ids, owners, ats = batch["doc_id"].to_pylist(), batch["owners"], batch["at"]
             for a, b in W.slices(off):
                 lo = off[a]
                 s, e, wo = W.spans(data[lo : off[b]], off[a : b + 1] - lo)
                 h = W.hashes(data[lo : off[b]], s, e)
                 out: list[tuple] = []
                 for k in range(a, b):
-                    at = ats[k].values.to_numpy()
+                    at, own = ats[k].values.to_numpy(), owners[k].values.to_numpy()
                     n = int(wo[k - a + 1] - wo[k - a])
                     left, right = np.maximum(at - reach, 0), np.minimum(at + SEED + reach, n)
                     cut = np.flatnonzero(left[1:] > np.maximum.accumulate(right)[:-1]) + 1
                     for x, y in zip([0, *cut.tolist()], [*cut.tolist(), len(at)]):
                         p, q = int(left[x]), int(right[x:y].max())
                         body = h[wo[k - a] + p : wo[k - a] + q].view(np.int64)
-                        out += [(o, ids[k], p, body) for o in owners[k]]
+                        out += [(o, ids[k], p, body) for o in np.unique(own[x:y]).tolist()]
                 if out:
                     o, d, p, body = zip(*out)
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in body])]).astype(np.int32)), pa.array(np.concatenate(body)))
@@ -136,7 +134,10 @@ def compare(docs: DataFrame, least: int, match: Callable[[list[tuple[int, int, n
         found = match([(int(d), int(s), np.asarray(w, np.int64)) for d, s, w in rows], least)
         return pd.DataFrame(found, columns=["doc_id", "a", "b"]).astype({"doc_id": "int64", "a": "int32", "b": "int32"})
 
-    runs = regions(docs, least).groupBy("owner").applyInPandas(group, "doc_id long, a int, b int")
+    found = store.cut(regions(docs, least))
+    large = found.groupBy("owner").count().where(F.col("count") > GROUP).select("owner")
+    small = found.join(large.hint("merge"), "owner", "left_anti")
+    runs = small.groupBy("owner").applyInPandas(group, "doc_id long, a int, b int").union(windows(found.join(large.hint("merge"), "owner", "left_semi"), least))
     # runs of one document from different groups are joined where they overlap or touch
     w = Window.partitionBy("doc_id").orderBy("a", "b")
     return (
@@ -147,6 +148,29 @@ def compare(docs: DataFrame, least: int, match: Callable[[list[tuple[int, int, n
     )
 
 
+def windows(found: DataFrame, least: int) -> DataFrame:
+    """(doc_id, a, b): the same for groups of any size, a row for each window; counts are taken before the exchange."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, start, words = batch["doc_id"].to_numpy(), batch["start"].to_numpy(), batch["words"]
+            if not batch.num_rows:
+                continue
+            flat, off = words.flatten().to_numpy(), words.offsets.to_numpy() - words.offsets[0].as_py()
+            for a, b in W.slices(off, W.PIECE // 8):
+                g, go = W.ngrams(flat[off[a] : off[b]].view(np.uint64), off[a : b + 1] - off[a], least)
+                doc = W.each(go)
+                at = np.arange(len(g)) - go[doc] + start[a + doc]
+                yield pa.RecordBatch.from_arrays([W.to_long(g), pa.array(ids[a + doc]), pa.array(at.astype(np.int32))], ["window", "doc_id", "a"])
+
+    rows = found.select("doc_id", "start", "words").mapInArrow(explode, "window long, doc_id long, a int").distinct()
+    first = rows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "first")
+    hit = rows.join(first.hint("merge"), "window").where("first < doc_id").select("doc_id", "a")
+    # neighbouring windows make a run
+    at = Window.partitionBy("doc_id").orderBy("a")
+    return hit.distinct().withColumn("run", F.col("a") - F.row_number().over(at)).groupBy("doc_id", "run").agg(F.min("a").alias("a"), (F.max("a") + least).cast("int").alias("b")).select("doc_id", "a", "b")
+
+
 def runs_of(flag: np.ndarray) -> list[tuple[int, int]]:
     """(first, behind the last) of the runs of true values."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flag.astype(np.int8), [0]])))
@@ -159,9 +183,8 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
     The blanks after a removed run go with it.  ``n_chars`` follows where it exists; a document of which nothing is left goes.
     """
     key, cut = store.fresh(docs, "cut_id", "cuts")
-    lists = store.cut(spans.groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.array_agg(F.struct("start_word", "n_words"))).alias(cut)))
-    side = F.broadcast(lists) if store.rows_below(lists, 200_000) else lists  # a row for each document with a span
-    joined = docs.join(side, docs["doc_id"] == side[key], "left").drop(key)
+    lists = spans.groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.array_agg(F.struct("start_word", "n_words"))).alias(cut))
+    joined = docs.join(lists.hint("merge"), docs["doc_id"] == lists[key], "left").drop(key)
     names = docs.columns
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

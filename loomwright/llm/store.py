@@ -1,20 +1,30 @@
-"""Shared scratch tables: lineage is cut by Parquet in the folder of ``spark.checkpoint.dir``."""
+"""Shared scratch tables: lineage is cut by Parquet in the folder of ``spark.checkpoint.dir``.
+
+Tables belong to the innermost open :func:`scope` and go with it.  Without a
+scope they live as long as the application, as lazy results read them; the
+file system deletes them when the JVM ends.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_SCOPE: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("scope", default=None)
 
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where none is configured (tests)."""
+    """The cluster's shared folder.  Where none is set, a local session (tests) gets a temporary one and a cluster an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="loomwright-")
@@ -22,15 +32,39 @@ def folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def reserve(spark: SparkSession, name: str = "table") -> str:
+    """A new path that is deleted with the scope, or with the application where none is open."""
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    tables = _SCOPE.get()
+    if tables is None:
+        fs, p = _file_system(spark, path)
+        fs.deleteOnExit(p)
+    else:
+        tables.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once and return the table: survives the loss of any executor and is never recomputed."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
+    path = reserve(spark)
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables cut inside are deleted at the end; results that read them must have been written by then."""
+    mine: list[tuple[SparkSession, str]] = []
+    token = _SCOPE.set(mine)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for spark, path in mine:
+            delete(spark, path)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened where ``df`` has a column called so."""
     taken = {c.lower() for c in df.columns}
@@ -42,28 +76,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table that :func:`cut` returned, once nothing reads it any more."""
-    files = df.inputFiles()
-    for k, (spark, path) in enumerate(list(_WRITTEN)):
-        if any(path.rsplit("/", 1)[1] in f for f in files[:1]):
-            _delete(spark, path)
-            del _WRITTEN[k]
-            return
-
-
-def release() -> None:
-    """Delete every scratch table; results that read them must have been written by then."""
-    while _WRITTEN:
-        _delete(*_WRITTEN.pop())
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
 
 
-def rows_below(df: DataFrame, limit: int) -> bool:
-    """Whether a written table is small enough to broadcast; counts from Parquet footers."""
-    return df.count() <= limit
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p

@@ -133,7 +133,18 @@ def test_jaccard(spark, corpus):
     got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in jaccard.pairs(docs).collect()}
     assert all(abs(true[p] - j) < 1e-12 for p, j in got.items())
     groups = lambda pairs: {frozenset(g) for g in _components(pairs)}
-    assert groups(got) == groups(true)
+    # pairs of different sets are between their smallest ids, copies are linked to those
+    rep = {}
+    for (a, b), j in sorted(true.items()):
+        if j == 1:
+            rep[b] = min(rep.get(b, b), a)
+    assert set(got) == {(a, b) for a, b in true if (a not in rep and b not in rep) or rep.get(b) == a}
+    rows = {r["doc_id"]: r for r in jaccard.classes(docs).collect()}
+    links = collections.Counter(x for p in true for x in p)
+    assert {d: r["links"] for d, r in rows.items()} == dict(links)
+    assert {d: r["class_id"] for d, r in rows.items()} == {x: min(g) for g in groups(true) for x in g}
+    assert all(r["same_as"] == rep.get(d, d) for d, r in rows.items())
+    assert jaccard.classes(spark.createDataFrame([], SCHEMA)).count() == 0
     kept = jaccard.deduplicate(docs)
     assert kept.columns == docs.columns
     gone = {x for g in groups(true) for x in g if x != min(g)}
@@ -169,6 +180,25 @@ def test_jaccard_recall(spark):
     assert len(got) >= 0.99 * len(true)
 
 
+def test_jaccard_blocks_of_a_large_group(spark, monkeypatch):
+    """A group that is cut into blocks links what the whole group links."""
+    rng = random.Random(17)
+    w = prose(rng, 120)
+    texts = []
+    for _ in range(60):
+        v = list(w)
+        for p in rng.sample(range(120), 6):
+            v[p] = prose(rng, 1)[0] + "x"
+        texts.append(" ".join(v))
+    texts += texts[:20]
+    docs = table(spark, texts)
+    whole = {tuple(r) for r in jaccard.classes(docs).collect()}
+    monkeypatch.setattr(jaccard, "TASK", 1000)
+    assert {tuple(r) for r in jaccard.classes(docs).collect()} == whole
+    links = collections.Counter(x for p in jaccard_by_hand(texts) for x in p)
+    assert sum(r[3] for r in whole) >= 0.99 * sum(links.values())
+
+
 def test_jaccard_recall_with_differing_long_tokens(spark):
     """Near copies that differ in nothing but long tokens."""
     rng = random.Random(31)
@@ -312,15 +342,33 @@ def test_neighbours(spark):
     g = u @ u.T
     np.fill_diagonal(g, -9)
     true = {(i, j) for i in range(1500) for j in np.argsort(-g[i])[:10]}
-    for limit in (1 << 26, 0):  # broadcast, routed
-        got = neighbours.search(df, 10, leaf=64, broadcast_bytes=limit).collect()
+    for cell in (1 << 16, 256):  # one cell, several
+        got = neighbours.search(df, 10, leaf=16, cell=cell).collect()
         assert len({(r["id"], r["neighbour"]) for r in got} & true) >= 0.9 * len(true)
         assert max(collections.Counter(r["id"] for r in got).values()) == 10
         assert {r["id"] for r in got} == set(range(1500))
+    some = neighbours.search(df, 10, asked=F.col("id") % 20 == 0).collect()
+    assert {r["id"] for r in some} == set(range(0, 1500, 20))
+    assert len({(r["id"], r["neighbour"]) for r in some} & true) >= 0.9 * 750
     assert neighbours.search(df.limit(0)).count() == 0
     assert neighbours.search(df.where("vec_id = 1")).count() == 0
 
 
+def test_neighbours_equal_vectors(spark):
+    """A third of the rows hold one vector: its rows list each other, smallest ids first."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(900, 8))
+    x[::3] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.search(df, 5, leaf=16, cell=128).collect()
+    found = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: r["rank"]):
+        found[r["id"]].append(r["neighbour"])
+    assert found[0] == [3, 6, 9, 12, 15] and found[6] == [0, 3, 9, 12, 15] and found[897] == [0, 3, 6, 9, 12]
+    assert all(len(v) == 5 for v in found.values()) and len(found) == 900
+    assert neighbours.search(df.where("vec_id % 3 = 0"), 5).count() == 1500
+
+
 def test_edit_distance():
     rng = random.Random(1)
 
@@ -341,6 +389,21 @@ def test_edit_distance():
         assert edits.distance(np.array(a), np.array(b), d - 1) is None
 
 
+def test_bounds_hold_the_distance():
+    rng = random.Random(4)
+    for _ in range(60):
+        a = prose(rng, rng.randint(2, 120))
+        b = list(a)
+        for _ in range(rng.randint(0, 12)):
+            b[rng.randrange(len(b))] = prose(rng, 1)[0]
+        s, t = (np.frombuffer(" ".join(x).encode("utf-32-le"), np.uint32) for x in (a, b if rng.random() < 0.8 else prose(rng, 60)))
+        d = edits.distance(s, t, 10_000)
+        assert edits.at_most(s, edits._grams(s), t, edits._grams(t)) >= d
+        for most in (3, 30, 300):
+            assert edits.distance(s, t, most) is None or edits.at_least([(s, t, most)] * 3).tolist() == [edits.at_least([(s, t, most)])[0]] * 3
+            assert d > most or edits.at_least([(s, t, most)])[0] <= d
+
+
 def test_fingerprints(spark, corpus):
     rng = random.Random(2)
     texts = [" ".join(prose(rng, rng.randint(60, 400))) for _ in range(120)]
@@ -360,7 +423,7 @@ def test_fingerprints(spark, corpus):
     got = {(r["doc_a"], r["doc_b"]) for r in edits.near(table(spark, texts)).collect()}
     assert len(true) > 80
     assert got <= true and len(got) >= 0.9 * len(true)
-    odd = {(r["doc_a"], r["doc_b"]): r["edits"] for r in edits.near(table(spark, corpus, CLASH)).collect()}
+    odd = {(r["doc_a"], r["doc_b"]): r["edits"] for r in edits.near(table(spark, corpus, CLASH), exact=True).collect()}
     assert odd[3, 60] == odd[3, 61] == odd[14, 62] == 0
     assert edits.near(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -418,9 +481,39 @@ def test_word_hashes():
     assert go.tolist() == [0, 2, 2, 2, 2, 2]
 
 
-def test_scratch_tables(spark):
-    t = store.cut(spark.range(5))
-    assert t.count() == 5 and store.fresh(spark.range(1), "id", "x") == ["id_", "x"]
-    store.release()
+def test_scratch_tables(spark, corpus):
+    with store.scope():
+        t = store.cut(spark.range(5))
+        assert t.count() == 5 and store.fresh(spark.range(1), "id", "x") == ["id_", "x"]
+        path = t.inputFiles()[0]
     with pytest.raises(Exception):
-        spark.read.parquet(t.inputFiles()[0]).count() if t.inputFiles() else t.count()
+        spark.read.parquet(path).count()
+    # a result outlives the scopes of others
+    docs = table(spark, corpus)
+    mine = jaccard.classes(docs)
+    n = mine.count()
+    with store.scope():
+        jaccard.deduplicate(docs).count()
+    assert mine.count() == n
+
+
+def test_no_shared_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = {}, Context
+
+    with pytest.raises(RuntimeError):
+        store.folder(Session)
+
+
+@pytest.mark.parametrize("op", [automaton, rindex])
+def test_repeats_in_large_groups(spark, monkeypatch, op):
+    """A passage that a third of the documents hold is settled without gathering its group."""
+    rng = random.Random(6)
+    passage = prose(rng, 70)
+    texts = [" ".join(prose(rng, rng.randint(20, 90)) + (passage[rng.randint(0, 12) :] if k % 3 == 0 else []) + prose(rng, 30)) for k in range(90)]
+    monkeypatch.setattr(repeats, "GROUP", 5)
+    got = {tuple(r) for r in op.repeated(table(spark, texts)).select("doc_id", "start_word", "n_words").collect()}
+    assert got == spans_by_hand(texts, 50)
