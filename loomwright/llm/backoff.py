@@ -1,100 +1,276 @@
-"""Stupid-backoff scores of documents against the corpus, computed relationally.
+"""Stupid-backoff scores of documents against the rest of the corpus, computed relationally.
 
-Words are exploded with their left context (the previous word; the first word
-of a document has the start symbol).  Bigram and context counts are taken where
-the exploded rows lie, partitioned by context hash, so that one exchange serves
-counting and looking up; bigrams seen fewer than ``CUTOFF`` times are no part
-of the table, and those words back off to ``ALPHA`` times their share of all
-words, joined from the table of word counts.  Per-document sums end it.
+A word is scored by the longest of its n-grams (three words, two, one) that some
+other document has: every count is taken without the document's own share, so a
+document does not vouch for itself.  Trigrams score c(xyz) / c(xy), bigrams
+``ALPHA`` c(yz) / c(y), words ``ALPHA``^2 c(z) / N.
 
-The contexts are worked through in ``rounds`` hash ranges, so that disk is
-needed for one range at a time; every range sees all documents.
+Words are exploded with their two words before (``START`` before the first).
+The rows of a document's n-grams and the count tables are partitioned by the
+hash of the context and meet there: one exchange counts and looks up the
+trigrams; what they leave goes to the bigram counts, and what those leave to the
+word counts.  N-grams and contexts that are frequent in a bounded sample of
+documents are counted over all documents beforehand, before any exchange; that
+small table is broadcast, so rows of a hot context are spread by the n-gram and
+those of a hot n-gram by the document.  The corpus is worked through in ``rounds`` hash ranges of
+the middle word, so that disk is needed for one range at a time; every range
+sees all documents.
 
 Cases: null and empty texts (no words) and null ids have no row; rows of the
 same id are scored as one document; extra columns are not read; an empty table
-has an empty result.
+has an empty result; texts are read whole, however long; a corpus of one
+document scores by word counts alone.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
 from . import words as W
 
 ALPHA = 0.4
-CUTOFF = 2
 ROUNDS = 3
 START = W.U64(0x5354415254)
+#: Documents in which frequent n-grams are looked for, about, and how often they must stand there.
+SAMPLE, FREQUENT = 16_384, 64
+#: Rows of an exchange that one task holds.
+TASK = 1_500_000
+_A, _B = W.U64(0x9E3779B97F4A7C15), W.U64(0xC2B2AE3D27D4EB4F)
 
 
-def _words(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two hashes, in order."""
+    return W.mix64(a * _A + W.mix64(b + _B))
+
+
+def tokens(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """(document's id, x, y, z) of every word z with the two before it, slice by slice."""
     data, off = W.buffers(batch["text"])
-    for a, b in W.slices(off, 4 * W.PIECE):
+    ids = batch["doc_id"].to_numpy(zero_copy_only=False)
+    for a, b in W.slices(off):
         s, e, wo = W.spans(data[off[a] : off[b]], off[a : b + 1] - off[a])
-        yield a, W.hashes(data[off[a] : off[b]], s, e), wo
+        z = W.hashes(data[off[a] : off[b]], s, e)
+        y, x = np.full_like(z, START), np.full_like(z, START)
+        y[1:], x[2:] = z[:-1], z[:-2]
+        place = np.arange(len(z)) - np.repeat(wo[:-1], np.diff(wo))
+        y[place < 1] = START
+        x[place < 2] = START
+        yield np.repeat(ids[a:b], np.diff(wo)), x, y, z
+
 
+def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, number of its group by place) of equal keys."""
+    one = keys[0].astype(np.uint64) if len(keys) == 1 else join(keys[0].astype(np.uint64), keys[1].astype(np.uint64))
+    _, first, name = np.unique(one, return_index=True, return_inverse=True)
+    return first, name
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): hash and frequency of every word; counted per slice of text before the exchange."""
+
+def counted(docs: DataFrame, only: np.ndarray | None = None) -> DataFrame:
+    """(gram, n): counts of words, contexts and n-grams, of those in ``only`` or of words alone; summed by slice before the exchange."""
+    keep = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, h, _ in _words(batch):
-                word, n = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_arrays([W.to_long(word), pa.array(n)], ["word", "n"])
+            for _, x, y, z in tokens(batch):
+                if keep is None:
+                    g, n = np.unique(z, return_counts=True)
+                else:
+                    xy = join(x, y)
+                    g = np.concatenate([_context(y), _context(xy), join(y, z), join(xy, z)])
+                    at = np.minimum(np.searchsorted(keep.value, g), len(keep.value) - 1)
+                    g, n = np.unique(g[keep.value[at] == g], return_counts=True)
+                yield pa.RecordBatch.from_arrays([W.to_long(g), pa.array(n)], ["gram", "n"])
+
+    return docs.mapInArrow(apply, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
-    return docs.select("text").mapInArrow(apply, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def _context(h: np.ndarray) -> np.ndarray:
+    """A context has a name of its own, apart from the n-gram of its words."""
+    return W.mix64(h ^ _B)
 
-def bigrams(docs: DataFrame, part: int, parts: int) -> DataFrame:
-    """(ctx, word, doc_id), a row for each word whose context falls into hash range ``part``; sorted by slice, which packs well."""
+
+def frequent(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(names, exact counts) of contexts and n-grams that are frequent in the sample, sorted by name."""
+    part = docs if n_docs <= SAMPLE else docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int((1 << 40) * (SAMPLE / n_docs)))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch["doc_id"].to_numpy(zero_copy_only=False)
-            for a, h, wo in _words(batch):
-                ctx = np.empty_like(h)
-                ctx[1:] = h[:-1]
-                ctx[wo[:-1][np.diff(wo) > 0]] = START
-                use = np.flatnonzero(ctx % W.U64(parts) == W.U64(part))
-                use = use[np.lexsort((h[use], ctx[use]))]
-                doc = np.searchsorted(wo, use, "right") - 1
-                yield pa.RecordBatch.from_arrays([W.to_long(ctx[use]), W.to_long(h[use]), pa.array(ids[a + doc])], ["ctx", "word", "doc_id"])
+            for _, x, y, z in tokens(batch):
+                xy = join(x, y)
+                g, n = np.unique(np.concatenate([_context(y), _context(xy), join(y, z), join(xy, z)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([W.to_long(g), pa.array(n)], ["gram", "n"])
+
+    # at most 4 * words of the sample / FREQUENT names
+    found = part.mapInArrow(apply, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).select("gram").toArrow()["gram"].to_numpy()
+    if not len(found):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    got = counted(docs, np.sort(found.view(np.uint64))).toArrow()
+    names, n = got["gram"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    order = np.argsort(names)
+    return names[order], n[order]
+
+
+def look(table: tuple[np.ndarray, np.ndarray], names: np.ndarray) -> np.ndarray:
+    """Counts from the broadcast table, 0 for names that it hasn't."""
+    if not len(table[0]):
+        return np.zeros(len(names), np.int64)
+    at = np.minimum(np.searchsorted(table[0], names), len(table[0]) - 1)
+    return np.where(table[0][at] == names, table[1][at], 0)
+
+
+SUMS = "kind int, doc_id long, y long, z long, k long, own long, own_y long, lp double"
+#: Kinds of rows: sums of a document's words that are settled, left to bigrams, left to words.
+DONE, BIGRAM, WORD = 0, 1, 2
+
+
+def _out(kind: int, doc: np.ndarray, k: np.ndarray, y=None, z=None, own=None, own_y=None, lp=None) -> pa.RecordBatch:
+    none = lambda t: pa.nulls(len(doc), t)
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.full(len(doc), kind, np.int32)), pa.array(doc), none(pa.int64()) if y is None else W.to_long(y), none(pa.int64()) if z is None else W.to_long(z), pa.array(k),
+        none(pa.int64()) if own is None else pa.array(own), none(pa.int64()) if own_y is None else pa.array(own_y), none(pa.float64()) if lp is None else pa.array(lp),
+    ], [c.split()[0] for c in SUMS.split(", ")])
+
+
+def _summed(doc: np.ndarray, k: np.ndarray, lp: np.ndarray) -> pa.RecordBatch:
+    """One row a document."""
+    ids, at = np.unique(doc, return_inverse=True)
+    return _out(DONE, ids, np.bincount(at, k, len(ids)).astype(np.int64), lp=np.bincount(at, k * lp, len(ids)))
+
+
+def trigrams(docs: DataFrame, table, part: int, parts: int) -> DataFrame:
+    """Rows of the documents' trigrams whose middle word is in range ``part``, by the key of the exchange."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = table.value
+        for batch in batches:
+            for doc, x, y, z in tokens(batch):
+                use = np.flatnonzero(y % W.U64(parts) == W.U64(part))
+                doc, x, y, z = doc[use], x[use], y[use], z[use]
+                xy = join(x, y)
+                g = join(xy, z)
+                first, name = groups(doc, g)
+                k = np.bincount(name)
+                own = np.bincount((c := groups(doc, xy)[1]))[c][first]
+                own_b = np.bincount((c := groups(doc, join(y, z))[1]))[c][first]
+                own_y = np.bincount((c := groups(doc, y)[1]))[c][first]
+                doc, xy, y, z, g = doc[first], xy[first], y[first], z[first], g[first]
+                c2 = look(hot, _context(xy))
+                c3 = look(hot, g)
+                # a hot context's rows are spread by trigram and know its count, a hot trigram's by document; others wait for it
+                yield pa.RecordBatch.from_arrays([
+                    W.to_long(np.where(c3 > 0, W.mix64(doc.view(np.uint64)), np.where(c2 > 0, g, xy))), W.to_long(g), W.to_long(y), W.to_long(z), pa.array(doc), pa.array(k), pa.array(own), pa.array(own_b), pa.array(own_y), pa.array(c2), pa.array(c3),
+                ], ["key", "g", "y", "z", "doc_id", "k", "own", "own_b", "own_y", "c2", "c3"])
+
+    return docs.mapInArrow(apply, "key long, g long, y long, z long, doc_id long, k long, own long, own_b long, own_y long, c2 long, c3 long")
+
+
+def _score_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [b for b in batches if b.num_rows]  # a task's rows are bounded by the number of tasks
+    if not parts:
+        return
+    t = pa.Table.from_batches(parts)
+    r = {c: t[c].to_numpy() for c in t.column_names}
+    _, g = np.unique(r["g"], return_inverse=True)
+    c3 = np.where(r["c3"] > 0, r["c3"], np.bincount(g, r["k"]).astype(np.int64)[g])
+    _, c = np.unique(r["key"], return_inverse=True)
+    c2 = np.where(r["c2"] > 0, r["c2"], np.bincount(c, r["k"]).astype(np.int64)[c])
+    n3 = c3 - r["k"]
+    hit = n3 > 0
+    yield _summed(r["doc_id"][hit], r["k"][hit], np.log(n3[hit] / (c2 - r["own"])[hit]))
+    m = ~hit
+    yield _out(BIGRAM, r["doc_id"][m], r["k"][m], r["y"][m].view(np.uint64), r["z"][m].view(np.uint64), r["own_b"][m], r["own_y"][m])
+
+
+def bigrams(docs: DataFrame, table, part: int, parts: int) -> DataFrame:
+    """(key, b, n): the count table of bigrams whose first word is in range ``part``, as yet by slice."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = table.value
+        for batch in batches:
+            for _, _, y, z in tokens(batch):
+                use = np.flatnonzero(y % W.U64(parts) == W.U64(part))
+                y, b = y[use], join(y[use], z[use])
+                first, name = groups(b)
+                n, y, b = np.bincount(name), y[first], b[first]
+                yield pa.RecordBatch.from_arrays([W.to_long(np.where(look(hot, _context(y)) > 0, b, y)), W.to_long(b), pa.array(n)], ["key", "b", "n"])
+
+    return docs.mapInArrow(apply, "key long, b long, n long")
+
+
+def _asked(left: DataFrame, table) -> DataFrame:
+    """Rows left to bigrams, by the key of the exchange."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in batches:
+            y, z = r["y"].to_numpy().view(np.uint64), r["z"].to_numpy().view(np.uint64)
+            b, c1 = join(y, z), look(table.value, _context(y))
+            c2 = look(table.value, b)
+            key = np.where(c2 > 0, W.mix64(r["doc_id"].to_numpy().view(np.uint64)), np.where(c1 > 0, b, y))
+            yield pa.RecordBatch.from_arrays([W.to_long(key), W.to_long(b), r["z"], r["doc_id"], r["k"], r["own"], r["own_y"], pa.array(c1), pa.array(c2)], ["key", "b", "z", "doc_id", "k", "own", "own_y", "c1", "c2"])
+
+    return left.where(F.col("kind") == BIGRAM).select("y", "z", "doc_id", "k", "own", "own_y").mapInArrow(apply, "key long, b long, z long, doc_id long, k long, own long, own_y long, c1 long, c2 long")
+
+
+def _score_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    t = pa.Table.from_batches(parts)
+    ask = t.filter(pa.compute.is_valid(t["doc_id"]))
+    if not ask.num_rows:
+        return
+    have = t.filter(pa.compute.is_null(t["doc_id"]))
+    n = have["n"].to_numpy()
+    r = {c: ask[c].to_numpy() for c in ("key", "b", "z", "doc_id", "k", "own", "own_y", "c1", "c2")}
+
+    def total(column: str, known: np.ndarray) -> np.ndarray:
+        if not len(n):
+            return known
+        names, at = np.unique(have[column].to_numpy(), return_inverse=True)
+        sums = np.bincount(at, n, len(names)).astype(np.int64)
+        return np.where(known > 0, known, sums[np.minimum(np.searchsorted(names, r[column]), len(names) - 1)])
 
-    return docs.select("doc_id", "text").mapInArrow(apply, "ctx long, word long, doc_id long")
+    n2, c1 = total("b", r["c2"]) - r["own"], total("key", r["c1"]) - r["own_y"]
+    hit = n2 > 0
+    yield _summed(r["doc_id"][hit], r["k"][hit], np.log(ALPHA * n2[hit] / c1[hit]))
+    m = ~hit
+    first, name = groups(r["doc_id"][m], r["z"][m])
+    yield _out(WORD, r["doc_id"][m][first], np.bincount(name, r["k"][m], len(first)).astype(np.int64), z=r["z"][m][first].view(np.uint64))
 
 
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, n_words, backed_off, log_score): the sum of the natural logs of the scores of the document's words."""
-    docs = docs.where("doc_id is not null and text is not null")
+    """(doc_id, n_words, backed_off, log_score): the sum of the natural logs of the scores of the document's words; ``backed_off`` of them by less than a trigram."""
+    docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        # rows of one id are one document: its texts follow each other, their own words apart
+        docs = store.cut(docs.groupBy("doc_id").agg(F.array_join(F.array_sort(F.array_agg("text")), "\n").alias("text")))
     spark = docs.sparkSession
-    counts = store.cut(word_counts(docs))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counts = store.cut(counted(docs))
+    size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    table = spark.sparkContext.broadcast(frequent(docs, docs.count()))  # bounded by the sample
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (rounds * TASK)))
     parts = []
     for r in range(rounds):
-        rows = bigrams(docs, r, rounds).repartition("ctx")
-        pair, ctx = Window.partitionBy("ctx", "word"), Window.partitionBy("ctx")
-        seen = rows.withColumns({"c2": F.count("*").over(pair), "c1": F.count("*").over(ctx)})
-        flagged = seen.select("doc_id", F.when(F.col("c2") < CUTOFF, F.col("word")).alias("word"), F.log(F.col("c2") / F.col("c1")).alias("lp"))
-        # one pass: sums of the table's bigrams by document, and the words that back off
-        flagged = store.cut(flagged.groupBy("doc_id", "word").agg(F.sum("lp").alias("lp"), F.count("*").alias("k")))
-        hit = flagged.where("word is null").select("doc_id", "lp", "k", F.lit(0).cast("long").alias("b"))
-        miss = (
-            flagged.where("word is not null").join(counts, "word")
-            .select("doc_id", (F.log(F.lit(ALPHA) * F.col("n") / F.lit(float(max(total, 1)))) * F.col("k")).alias("lp"), "k", F.col("k").alias("b"))
-        )
-        parts.append(store.cut(hit.union(miss).groupBy("doc_id").agg(F.sum("lp").alias("lp"), F.sum("k").alias("k"), F.sum("b").alias("b"))))
-        store.drop(flagged)
-        del rows, seen, flagged, hit, miss
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of this range
+        with store.scope():
+            left = store.cut(trigrams(docs, table, r, rounds).repartition(tasks, "key").mapInArrow(_score_trigrams, SUMS))
+            have = bigrams(docs, table, r, rounds)
+            ask = _asked(left, table)
+            both = ask.withColumn("n", F.lit(None).cast("long")).unionByName(have, allowMissingColumns=True)
+            rest = store.cut(both.repartition(tasks, "key").mapInArrow(_score_bigrams, SUMS))
+            words = (
+                rest.where(F.col("kind") == WORD).select("doc_id", F.col("z").alias("gram"), "k").join(counts.hint("merge"), "gram")
+                .select("doc_id", "k", (F.log(F.lit(ALPHA * ALPHA / max(size, 1)) * F.col("n")) * F.col("k")).alias("lp"), F.col("k").alias("b"))
+            )
+            done = left.where(F.col("kind") == DONE).select("doc_id", "k", "lp", F.lit(0).cast("long").alias("b"))
+            less = rest.where(F.col("kind") == DONE).select("doc_id", "k", "lp", F.col("k").alias("b"))
+            sums = done.union(less).union(words).groupBy("doc_id").agg(F.sum("lp").alias("lp"), F.sum("k").alias("k"), F.sum("b").alias("b"))
+            parts.append(store.cut(sums, outer=True))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -103,16 +279,16 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def oracle(documents: str = "documents") -> str:
     """The same in DuckDB SQL, with the score by word."""
+    count = lambda *c: f"count(*) OVER (PARTITION BY {', '.join(c)}) - count(*) OVER (PARTITION BY doc_id, {', '.join(c)})"
     return f"""
 WITH w AS (
-  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i
+  SELECT doc_id, unnest(words) AS z, generate_subscripts(words, 1) AS i
   FROM (SELECT doc_id, regexp_extract_all(text, '[^\\t\\n\\f\\r ]+') AS words FROM {documents} WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
-g AS (SELECT doc_id, word, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS ctx FROM w),
-c2 AS (SELECT ctx, word, count(*) AS c2 FROM g GROUP BY ALL),
-c1 AS (SELECT ctx, count(*) AS c1 FROM g GROUP BY ALL),
-u AS (SELECT word, count(*) AS n FROM w GROUP BY ALL),
-s AS (
-  SELECT g.doc_id, c2.c2 < {CUTOFF} AS back,
-    CASE WHEN c2.c2 < {CUTOFF} THEN ln({ALPHA} * u.n / (SELECT sum(n) FROM u)) ELSE ln(c2.c2 / c1.c1) END AS lp
-  FROM g JOIN c2 ON c2.word = g.word AND c2.ctx IS NOT DISTINCT FROM g.ctx JOIN c1 ON c1.ctx IS NOT DISTINCT FROM g.ctx JOIN u ON u.word = g.word)
-SELECT doc_id, count(*) AS n_words, count(*) FILTER (back) AS backed_off, round(sum(lp) / count(*), 6) AS score FROM s GROUP BY doc_id"""
+g AS (SELECT doc_id, z, coalesce(lag(z) OVER d, ' ') AS y, coalesce(lag(z, 2) OVER d, ' ') AS x FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+n AS (
+  SELECT doc_id, {count("x", "y", "z")} AS c3, {count("x", "y")} AS d3, {count("y", "z")} AS c2, {count("y")} AS d2,
+    count(*) OVER (PARTITION BY z) AS c1, count(*) OVER () AS d1
+  FROM g)
+SELECT doc_id, count(*) AS n_words, count(*) FILTER (c3 = 0) AS backed_off,
+  round(sum(CASE WHEN c3 > 0 THEN ln(c3 / d3) WHEN c2 > 0 THEN ln({ALPHA} * c2 / d2) ELSE ln({ALPHA} * {ALPHA} * c1 / d1) END) / count(*), 6) AS score
+FROM n GROUP BY doc_id"""

@@ -15,8 +15,20 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting for the deletion of an execution's shuffle files.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Tables(list):
+    """(session, path) of a scope's tables, and the scope around it."""
+
+    def __init__(self, above: Tables | None):
+        super().__init__()
+        self.above = above
+
+
 _OWN: dict[str, str] = {}
-_SCOPE: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("scope", default=None)
+_SCOPE: ContextVar[Tables | None] = ContextVar("scope", default=None)
 
 
 def folder(spark: SparkSession) -> str:
@@ -32,10 +44,12 @@ def folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def reserve(spark: SparkSession, name: str = "table") -> str:
-    """A new path that is deleted with the scope, or with the application where none is open."""
+def reserve(spark: SparkSession, name: str = "table", outer: bool = False) -> str:
+    """A new path that is deleted with the scope (with the one around it if ``outer``), or with the application where none is open."""
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     tables = _SCOPE.get()
+    if outer and tables is not None:
+        tables = tables.above
     if tables is None:
         fs, p = _file_system(spark, path)
         fs.deleteOnExit(p)
@@ -44,18 +58,27 @@ def reserve(spark: SparkSession, name: str = "table") -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, outer: bool = False) -> DataFrame:
     """Write ``df`` once and return the table: survives the loss of any executor and is never recomputed."""
+    return write(df, reserve(df.sparkSession, outer=outer))
+
+
+def write(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` and return the table; its shuffle files are deleted then, as nothing reads them again."""
     spark = df.sparkSession
-    path = reserve(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scope() -> Iterator[None]:
     """Tables cut inside are deleted at the end; results that read them must have been written by then."""
-    mine: list[tuple[SparkSession, str]] = []
+    mine = Tables(_SCOPE.get())
     token = _SCOPE.set(mine)
     try:
         yield

@@ -314,22 +314,32 @@ def test_kneser_ney_sums_to_one_and_matches_recursion():
         assert abs(np.exp(langid.log_prob(model, every)).sum() - 1) < 1e-9
 
 
-def test_backoff(spark, corpus):
+def test_backoff(spark, corpus, monkeypatch):
     docs = table(spark, corpus, CLASH)
     words = {i: [x for x in (t or "").replace("\n", " ").split(" ") if x] for i, t in enumerate(corpus)}
-    big, ctx, uni = collections.Counter(), collections.Counter(), collections.Counter()
-    for w in words.values():
-        for a, b in zip([None, *w], w):
-            big[a, b] += 1
-            ctx[a] += 1
-            uni[b] += 1
-    total = sum(uni.values())
-    got = {r["doc_id"]: r for r in backoff.score(docs, 2).collect()}
-    assert set(got) == {i for i, w in words.items() if w}
-    for i, r in got.items():
-        want = sum(np.log(big[a, b] / ctx[a]) if big[a, b] >= 2 else np.log(0.4 * uni[b] / total) for a, b in zip([None, *words[i]], words[i]))
-        assert abs(r["log_score"] - want) < 1e-6 * max(1, abs(want)) and r["n_words"] == len(words[i])
+    pad = {i: list(zip([None, None, *w], [None, *w], w)) for i, w in words.items()}
+    keys = {"xyz": lambda t: t, "xy": lambda t: t[:2], "yz": lambda t: t[1:], "y": lambda t: t[1], "z": lambda t: t[2]}
+    own = {i: {k: collections.Counter(map(f, p)) for k, f in keys.items()} for i, p in pad.items()}
+    all_ = {k: sum((own[i][k] for i in own), collections.Counter()) for k in keys}
+    total = sum(all_["z"].values())
+
+    def score(i, t):
+        n = {k: all_[k][f(t)] - own[i][k][f(t)] for k, f in keys.items()}
+        return np.log(n["xyz"] / n["xy"]) if n["xyz"] else np.log(0.4 * n["yz"] / n["y"]) if n["yz"] else np.log(0.16 * all_["z"][t[2]] / total)
+
+    for frequent in (backoff.FREQUENT, 3):  # 3: most n-grams are counted beforehand
+        monkeypatch.setattr(backoff, "FREQUENT", frequent)
+        got = {r["doc_id"]: r for r in backoff.score(docs, 2).collect()}
+        assert set(got) == {i for i, w in words.items() if w}
+        for i, r in got.items():
+            want = sum(score(i, t) for t in pad[i])
+            assert abs(r["log_score"] - want) < 1e-6 * max(1, abs(want)) and r["n_words"] == len(words[i])
+            assert r["backed_off"] == sum(all_["xyz"][t] == own[i]["xyz"][t] for t in pad[i])
     assert backoff.score(spark.createDataFrame([], SCHEMA)).count() == 0
+    one = backoff.score(table(spark, ["a b a b", None])).collect()
+    assert [(r["n_words"], r["backed_off"]) for r in one] == [(4, 4)]
+    twice = table(spark, corpus[:5]).union(table(spark, corpus[:1])).union(table(spark, corpus[:3]).withColumn("doc_id", F.lit(None).cast("long")))
+    assert {r["doc_id"]: r["n_words"] for r in backoff.score(twice).collect()} == {i: len(words[i]) * (2 if i == 0 else 1) for i in range(5)}
 
 
 def test_neighbours(spark):
