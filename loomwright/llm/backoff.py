@@ -140,7 +140,7 @@ def _out(kind: int, doc: np.ndarray, k: np.ndarray, y=None, z=None, own=None, ow
 def _summed(doc: np.ndarray, k: np.ndarray, lp: np.ndarray) -> pa.RecordBatch:
     """One row a document."""
     ids, at = np.unique(doc, return_inverse=True)
-    return _out(DONE, ids, np.bincount(at, k, len(ids)).astype(np.int64), lp=np.bincount(at, k * lp, len(ids)))
+    return _out(DONE, ids, np.bincount(at, k, len(ids)).astype(np.int64), lp=np.bincount(at, k * lp, len(ids)).astype(float))  # an empty count is one of integers
 
 
 def trigrams(docs: DataFrame, table, part: int, parts: int) -> DataFrame:
