@@ -9,12 +9,17 @@ Words are exploded with their two words before (``START`` before the first).
 The rows of a document's n-grams and the count tables are partitioned by the
 hash of the context and meet there: one exchange counts and looks up the
 trigrams; what they leave goes to the bigram counts, and what those leave to the
-word counts.  N-grams and contexts that are frequent in a bounded sample of
-documents are counted over all documents beforehand, before any exchange; that
-small table is broadcast, so rows of a hot context are spread by the n-gram and
-those of a hot n-gram by the document.  The corpus is worked through in ``rounds`` hash ranges of
-the middle word, so that disk is needed for one range at a time; every range
-sees all documents.
+word counts.  Rows of one partition travel as one block of columns (a row of
+the exchange for each slice of documents and partition), so neither Spark's rows
+nor its sort are paid for each n-gram.
+
+N-grams and contexts that are frequent in a sample of documents are counted over
+all documents beforehand; that table is broadcast (the sample grows so that
+what it misses fits a task, and the table has at most 4 names for every
+``FREQUENT`` / 4 words of it), so rows of a hot context are spread by the n-gram
+and those of a hot n-gram by the document.  The corpus is worked through in
+``rounds`` hash ranges of the middle word, so that disk is needed for one range
+at a time; every range sees all documents.
 
 Cases: null and empty texts (no words) and null ids have no row; rows of the
 same id are scored as one document; extra columns are not read; an empty table
@@ -37,24 +42,46 @@ from . import words as W
 ALPHA = 0.4
 ROUNDS = 3
 START = W.U64(0x5354415254)
-#: Documents in which frequent n-grams are looked for, about, and how often they must stand there.
+#: Documents in which frequent n-grams are looked for, at least, and how often they must stand there.
 SAMPLE, FREQUENT = 16_384, 64
 #: Rows of an exchange that one task holds.
-TASK = 1_500_000
+TASK = 1_000_000
+#: Words with this share of all words are in the broadcast table.
+COMMON = 1 / 65_536
 _A, _B = W.U64(0x9E3779B97F4A7C15), W.U64(0xC2B2AE3D27D4EB4F)
 
+#: Kinds of blocks, and the columns of each.
+TRIGRAM, BIGRAM, BIGRAM_COUNT, WORD, WORD_COUNT, GRAM_COUNT, DONE = range(7)
+COLUMNS = {
+    TRIGRAM: "u8 u8 u8 i8 u4 u4 u4 u4",  # x and y, y, z, document, how often there, and how often there: xy, yz, y
+    BIGRAM: "u8 u8 i8 u4 u4 u4",  # y, z, document, how often there, and how often there: yz, y
+    BIGRAM_COUNT: "u8 u8 i8",  # y, yz, count
+    WORD: "u8 i8 u4",  # z, document, how often there
+    WORD_COUNT: "u8 i8",
+    GRAM_COUNT: "u8 i8",
+    DONE: "i8 u4 u4 f8",  # document, words, of them backed off, their log scores
+}
+BLOCK = "kind int, part int, rows binary"
+
 
 def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hash of two hashes, in order."""
     return W.mix64(a * _A + W.mix64(b + _B))
 
 
+def _context(h: np.ndarray) -> np.ndarray:
+    """A context has a name of its own, apart from the n-gram of its words."""
+    return W.mix64(h ^ _B)
+
+
 def tokens(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
     """(document's id, x, y, z) of every word z with the two before it, slice by slice."""
     data, off = W.buffers(batch["text"])
     ids = batch["doc_id"].to_numpy(zero_copy_only=False)
     for a, b in W.slices(off):
         s, e, wo = W.spans(data[off[a] : off[b]], off[a : b + 1] - off[a])
+        if not len(s):
+            continue
         z = W.hashes(data[off[a] : off[b]], s, e)
         y, x = np.full_like(z, START), np.full_like(z, START)
         y[1:], x[2:] = z[:-1], z[:-2]
@@ -64,215 +91,286 @@ def tokens(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
         yield np.repeat(ids[a:b], np.diff(wo)), x, y, z
 
 
-def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first place, number of its group by place) of equal keys."""
-    one = keys[0].astype(np.uint64) if len(keys) == 1 else join(keys[0].astype(np.uint64), keys[1].astype(np.uint64))
-    _, first, name = np.unique(one, return_index=True, return_inverse=True)
-    return first, name
-
-
-def counted(docs: DataFrame, only: np.ndarray | None = None) -> DataFrame:
-    """(gram, n): counts of words, contexts and n-grams, of those in ``only`` or of words alone; summed by slice before the exchange."""
-    keep = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
+def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, number of its group by place) of equal keys: one sort of the keys' high bits with the places in the low ones."""
+    n = len(key)
+    bits = W.U64(n.bit_length())
+    packed = np.sort(key >> bits << bits | np.arange(n, dtype=np.uint64))
+    order = (packed & ((W.U64(1) << bits) - W.U64(1))).astype(np.int64)
+    ordered = key[order]
+    new = np.ones(n, bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    if (new[1:] & (packed[1:] >> bits == packed[:-1] >> bits)).any():  # different keys with equal high bits
+        _, first, name = np.unique(key, return_index=True, return_inverse=True)
+        return first, name
+    name = np.empty(n, np.int64)
+    name[order] = np.cumsum(new) - 1
+    return order[new], name
+
+
+def _sums(name: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Integer sums by group."""
+    return np.bincount(name, n).astype(np.int64)
+
+
+def blocks(kind: int, part: np.ndarray, parts: int, *columns: np.ndarray) -> pa.RecordBatch:
+    """The rows as blocks, one for each partition that has any; ``part`` is a hash."""
+    part = (part % W.U64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.uint32)
+    order = np.argsort(part, kind="stable")
+    used, first = np.unique(part[order], return_index=True)
+    cols = [c.astype(t, copy=False)[order] for c, t in zip(columns, COLUMNS[kind].split())]
+    rows = [b"".join([c[u:v].tobytes() for c in cols]) for u, v in zip(first.tolist(), [*first[1:].tolist(), len(part)])]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(used), kind, np.int32)), pa.array(used.astype(np.int32)), pa.array(rows, pa.binary())], ["kind", "part", "rows"])
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, list[np.ndarray]]:
+    """Columns by kind of all blocks of a task, which the number of partitions bounds."""
+    got: dict[int, list[bytes]] = {}
+    for b in batches:
+        for k, r in zip(b["kind"].to_pylist(), b["rows"].to_pylist()):
+            got.setdefault(k, []).append(r)
+    out = {}
+    for k, rows in got.items():
+        types = [np.dtype(t) for t in COLUMNS[k].split()]
+        wide = sum(t.itemsize for t in types)
+        lists: list[list[np.ndarray]] = [[] for _ in types]
+        for r in rows:
+            n, at = len(r) // wide, 0
+            for c, t in zip(lists, types):
+                c.append(np.frombuffer(r, t, n, at))
+                at += n * t.itemsize
+        rows.clear()
+        out[k] = [np.concatenate(c) for c in lists]
+    return out
+
+
+def _spread(doc: np.ndarray) -> np.ndarray:
+    return W.mix64(doc.view(np.uint64))
+
+
+def _names(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Contexts y and xy, bigrams yz and trigrams xyz."""
+    xy = join(x, y)
+    return np.concatenate([_context(y), _context(xy), join(y, z), join(xy, z)])
+
+
+def frequent(docs: DataFrame, n_docs: int) -> np.ndarray:
+    """Names of contexts and n-grams that are frequent in a sample, sorted; slices in which one stands under 4 times don't count for it."""
+    most = max(SAMPLE, int(n_docs * 4 * FREQUENT / TASK))
+    part = docs if n_docs <= most else docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int((1 << 40) * (most / n_docs)))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, x, y, z in tokens(batch):
-                if keep is None:
-                    g, n = np.unique(z, return_counts=True)
-                else:
-                    xy = join(x, y)
-                    g = np.concatenate([_context(y), _context(xy), join(y, z), join(xy, z)])
-                    at = np.minimum(np.searchsorted(keep.value, g), len(keep.value) - 1)
-                    g, n = np.unique(g[keep.value[at] == g], return_counts=True)
-                yield pa.RecordBatch.from_arrays([W.to_long(g), pa.array(n)], ["gram", "n"])
-
-    return docs.mapInArrow(apply, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+                g = np.sort(_names(x, y, z))
+                first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+                n = np.diff(np.append(first, len(g)))
+                keep = n >= min(4, FREQUENT)
+                yield pa.RecordBatch.from_arrays([W.to_long(g[first[keep]]), pa.array(n[keep])], ["gram", "n"])
 
-
-def _context(h: np.ndarray) -> np.ndarray:
-    """A context has a name of its own, apart from the n-gram of its words."""
-    return W.mix64(h ^ _B)
-
-
-def frequent(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """(names, exact counts) of contexts and n-grams that are frequent in the sample, sorted by name."""
-    part = docs if n_docs <= SAMPLE else docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int((1 << 40) * (SAMPLE / n_docs)))
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, x, y, z in tokens(batch):
-                xy = join(x, y)
-                g, n = np.unique(np.concatenate([_context(y), _context(xy), join(y, z), join(xy, z)]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([W.to_long(g), pa.array(n)], ["gram", "n"])
-
-    # at most 4 * words of the sample / FREQUENT names
     found = part.mapInArrow(apply, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).select("gram").toArrow()["gram"].to_numpy()
-    if not len(found):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    got = counted(docs, np.sort(found.view(np.uint64))).toArrow()
-    names, n = got["gram"].to_numpy().view(np.uint64), got["n"].to_numpy()
-    order = np.argsort(names)
-    return names[order], n[order]
+    return np.sort(found.view(np.uint64))
 
 
 def look(table: tuple[np.ndarray, np.ndarray], names: np.ndarray) -> np.ndarray:
-    """Counts from the broadcast table, 0 for names that it hasn't."""
+    """Counts from the sorted table, 0 for names that it hasn't."""
     if not len(table[0]):
         return np.zeros(len(names), np.int64)
     at = np.minimum(np.searchsorted(table[0], names), len(table[0]) - 1)
     return np.where(table[0][at] == names, table[1][at], 0)
 
 
-SUMS = "kind int, doc_id long, y long, z long, k long, own long, own_y long, lp double"
-#: Kinds of rows: sums of a document's words that are settled, left to bigrams, left to words.
-DONE, BIGRAM, WORD = 0, 1, 2
+def counted(docs: DataFrame, names: np.ndarray, parts: int) -> DataFrame:
+    """Blocks of the counts of all words, and of those n-grams and contexts in ``names``; ``n`` is the number of words counted."""
+    shared = docs.sparkSession.sparkContext.broadcast(names)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = (shared.value, np.ones(len(shared.value), np.int64))
+        for batch in batches:
+            for _, x, y, z in tokens(batch):
+                first, name = groups(z)
+                yield blocks(WORD_COUNT, z[first], parts, z[first], np.bincount(name))
+                if len(shared.value):
+                    g = _names(x, y, z)
+                    g = g[look(hot, g) > 0]
+                    if len(g):
+                        first, name = groups(g)
+                        yield blocks(GRAM_COUNT, g[first], parts, g[first], np.bincount(name))
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kind, (g, n) in gathered(batches).items():
+            first, name = groups(g)
+            n = _sums(name, n)
+            b = blocks(kind, g[first], parts, g[first], n)
+            total = [int(np.frombuffer(r, np.int64)[len(r) // 16 :].sum()) for r in b["rows"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total, pa.int64())], [*b.schema.names, "n"])
 
-def _out(kind: int, doc: np.ndarray, k: np.ndarray, y=None, z=None, own=None, own_y=None, lp=None) -> pa.RecordBatch:
-    none = lambda t: pa.nulls(len(doc), t)
-    return pa.RecordBatch.from_arrays([
-        pa.array(np.full(len(doc), kind, np.int32)), pa.array(doc), none(pa.int64()) if y is None else W.to_long(y), none(pa.int64()) if z is None else W.to_long(z), pa.array(k),
-        none(pa.int64()) if own is None else pa.array(own), none(pa.int64()) if own_y is None else pa.array(own_y), none(pa.float64()) if lp is None else pa.array(lp),
-    ], [c.split()[0] for c in SUMS.split(", ")])
+    return docs.mapInArrow(apply, BLOCK).repartitionById(parts, "part").mapInArrow(add, BLOCK + ", n long")
 
 
-def _summed(doc: np.ndarray, k: np.ndarray, lp: np.ndarray) -> pa.RecordBatch:
-    """One row a document."""
-    ids, at = np.unique(doc, return_inverse=True)
-    return _out(DONE, ids, np.bincount(at, k, len(ids)).astype(np.int64), lp=np.bincount(at, k * lp, len(ids)).astype(float))  # an empty count is one of integers
+def listed(counts: DataFrame, kind: int, least: float = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(names, counts) of a kind, from ``least`` on, sorted by name; for what is bounded."""
 
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, n in gathered(batches).values():
+            yield pa.RecordBatch.from_arrays([W.to_long(g[n >= least]), pa.array(n[n >= least])], ["gram", "n"])
+
+    got = counts.where(F.col("kind") == kind).select("kind", "rows").mapInArrow(apply, "gram long, n long").toArrow()
+    names, n = got["gram"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    order = np.argsort(names)
+    return names[order], n[order]
 
-def trigrams(docs: DataFrame, table, part: int, parts: int) -> DataFrame:
-    """Rows of the documents' trigrams whose middle word is in range ``part``, by the key of the exchange."""
+
+def trigrams(docs: DataFrame, table, part: int, rounds: int, parts: int) -> DataFrame:
+    """Blocks of the documents' trigrams whose middle word is in range ``part``, by context; those of a hot context by trigram, of a hot trigram by document."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = table.value
+        hot = table.value["grams"]
         for batch in batches:
             for doc, x, y, z in tokens(batch):
-                use = np.flatnonzero(y % W.U64(parts) == W.U64(part))
+                use = np.flatnonzero(y % W.U64(rounds) == W.U64(part))
+                if not len(use):
+                    continue
                 doc, x, y, z = doc[use], x[use], y[use], z[use]
-                xy = join(x, y)
-                g = join(xy, z)
-                first, name = groups(doc, g)
-                k = np.bincount(name)
-                own = np.bincount((c := groups(doc, xy)[1]))[c][first]
-                own_b = np.bincount((c := groups(doc, join(y, z))[1]))[c][first]
-                own_y = np.bincount((c := groups(doc, y)[1]))[c][first]
-                doc, xy, y, z, g = doc[first], xy[first], y[first], z[first], g[first]
-                c2 = look(hot, _context(xy))
-                c3 = look(hot, g)
-                # a hot context's rows are spread by trigram and know its count, a hot trigram's by document; others wait for it
-                yield pa.RecordBatch.from_arrays([
-                    W.to_long(np.where(c3 > 0, W.mix64(doc.view(np.uint64)), np.where(c2 > 0, g, xy))), W.to_long(g), W.to_long(y), W.to_long(z), pa.array(doc), pa.array(k), pa.array(own), pa.array(own_b), pa.array(own_y), pa.array(c2), pa.array(c3),
-                ], ["key", "g", "y", "z", "doc_id", "k", "own", "own_b", "own_y", "c2", "c3"])
-
-    return docs.mapInArrow(apply, "key long, g long, y long, z long, doc_id long, k long, own long, own_b long, own_y long, c2 long, c3 long")
-
-
-def _score_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = [b for b in batches if b.num_rows]  # a task's rows are bounded by the number of tasks
-    if not parts:
-        return
-    t = pa.Table.from_batches(parts)
-    r = {c: t[c].to_numpy() for c in t.column_names}
-    _, g = np.unique(r["g"], return_inverse=True)
-    c3 = np.where(r["c3"] > 0, r["c3"], np.bincount(g, r["k"]).astype(np.int64)[g])
-    _, c = np.unique(r["key"], return_inverse=True)
-    c2 = np.where(r["c2"] > 0, r["c2"], np.bincount(c, r["k"]).astype(np.int64)[c])
-    n3 = c3 - r["k"]
-    hit = n3 > 0
-    yield _summed(r["doc_id"][hit], r["k"][hit], np.log(n3[hit] / (c2 - r["own"])[hit]))
-    m = ~hit
-    yield _out(BIGRAM, r["doc_id"][m], r["k"][m], r["y"][m].view(np.uint64), r["z"][m].view(np.uint64), r["own_b"][m], r["own_y"][m])
-
-
-def bigrams(docs: DataFrame, table, part: int, parts: int) -> DataFrame:
-    """(key, b, n): the count table of bigrams whose first word is in range ``part``, as yet by slice."""
+                mine = W.mix64(doc.view(np.uint64) + _A)  # n-grams of one document are apart from those of another
+                xy, yz = join(x, y), join(y, z)
+                first, name = groups(join(xy, z) ^ mine)
+                order = np.argsort(first)
+                first, k = first[order], np.bincount(name)[order]
+                own, own_b, own_y = (np.bincount(n)[n[first]] for n in (groups(h ^ mine)[1] for h in (xy, yz, y)))
+                doc, xy, y, z = doc[first], xy[first], y[first], z[first]
+                key = np.where(look(hot, _context(xy)) > 0, join(xy, z), xy)
+                key = np.where(look(hot, join(xy, z)) > 0, _spread(doc), key)
+                yield blocks(TRIGRAM, W.mix64(key), parts, xy, y, z, doc, k, own, own_b, own_y)
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = table.value
-        for batch in batches:
-            for _, _, y, z in tokens(batch):
-                use = np.flatnonzero(y % W.U64(parts) == W.U64(part))
-                y, b = y[use], join(y[use], z[use])
-                first, name = groups(b)
-                n, y, b = np.bincount(name), y[first], b[first]
-                yield pa.RecordBatch.from_arrays([W.to_long(np.where(look(hot, _context(y)) > 0, b, y)), W.to_long(b), pa.array(n)], ["key", "b", "n"])
+    return docs.mapInArrow(apply, BLOCK)
+
+
+def _done(doc: np.ndarray, k: np.ndarray, less: bool, lp: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A row for each document."""
+    first, name = groups(_spread(doc))
+    n = _sums(name, k)
+    return blocks(DONE, _spread(doc[first]), parts, doc[first], n, n * less, np.bincount(name, k * lp))
 
-    return docs.mapInArrow(apply, "key long, b long, n long")
 
+def _bigram_key(hot: tuple, y: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return W.mix64(np.where(look(hot, _context(y)) > 0, b, y))
 
-def _asked(left: DataFrame, table) -> DataFrame:
-    """Rows left to bigrams, by the key of the exchange."""
 
+def score_trigrams(table, parts: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in batches:
-            y, z = r["y"].to_numpy().view(np.uint64), r["z"].to_numpy().view(np.uint64)
-            b, c1 = join(y, z), look(table.value, _context(y))
-            c2 = look(table.value, b)
-            key = np.where(c2 > 0, W.mix64(r["doc_id"].to_numpy().view(np.uint64)), np.where(c1 > 0, b, y))
-            yield pa.RecordBatch.from_arrays([W.to_long(key), W.to_long(b), r["z"], r["doc_id"], r["k"], r["own"], r["own_y"], pa.array(c1), pa.array(c2)], ["key", "b", "z", "doc_id", "k", "own", "own_y", "c1", "c2"])
-
-    return left.where(F.col("kind") == BIGRAM).select("y", "z", "doc_id", "k", "own", "own_y").mapInArrow(apply, "key long, b long, z long, doc_id long, k long, own long, own_y long, c1 long, c2 long")
-
-
-def _score_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = [b for b in batches if b.num_rows]
-    if not parts:
-        return
-    t = pa.Table.from_batches(parts)
-    ask = t.filter(pa.compute.is_valid(t["doc_id"]))
-    if not ask.num_rows:
-        return
-    have = t.filter(pa.compute.is_null(t["doc_id"]))
-    n = have["n"].to_numpy()
-    r = {c: ask[c].to_numpy() for c in ("key", "b", "z", "doc_id", "k", "own", "own_y", "c1", "c2")}
-
-    def total(column: str, known: np.ndarray) -> np.ndarray:
-        if not len(n):
-            return known
-        names, at = np.unique(have[column].to_numpy(), return_inverse=True)
-        sums = np.bincount(at, n, len(names)).astype(np.int64)
-        return np.where(known > 0, known, sums[np.minimum(np.searchsorted(names, r[column]), len(names) - 1)])
-
-    n2, c1 = total("b", r["c2"]) - r["own"], total("key", r["c1"]) - r["own_y"]
-    hit = n2 > 0
-    yield _summed(r["doc_id"][hit], r["k"][hit], np.log(ALPHA * n2[hit] / c1[hit]))
-    m = ~hit
-    first, name = groups(r["doc_id"][m], r["z"][m])
-    yield _out(WORD, r["doc_id"][m][first], np.bincount(name, r["k"][m], len(first)).astype(np.int64), z=r["z"][m][first].view(np.uint64))
+        got = gathered(batches)
+        if not got:
+            return
+        hot = table.value["grams"]
+        xy, y, z, doc, k, own, own_b, own_y = got.pop(TRIGRAM)
+        g = join(xy, z)
+        _, name = groups(g)
+        c3 = look(hot, g)
+        n3 = np.where(c3 > 0, c3, _sums(name, k)[name]) - k
+        del g, c3
+        hit = np.flatnonzero(n3 > 0)
+        if len(hit):
+            _, name = groups(xy)
+            c2 = look(hot, _context(xy))
+            n2 = np.where(c2 > 0, c2, _sums(name, k)[name]) - own
+            yield _done(doc[hit], k[hit], False, np.log(n3[hit] / n2[hit]), parts)
+            del c2, n2
+        # every bigram stands in trigrams, so their counts are its own
+        b = join(y, z)
+        first, name = groups(b)
+        n, one, two = _sums(name, k), y[first], b[first]
+        cold = look(hot, two) == 0
+        if cold.any():
+            yield blocks(BIGRAM_COUNT, _bigram_key(hot, one[cold], two[cold]), parts, one[cold], two[cold], n[cold])
+        m = np.flatnonzero(n3 <= 0)
+        if len(m):
+            key = np.where(look(hot, b[m]) > 0, W.mix64(_spread(doc[m])), _bigram_key(hot, y[m], b[m]))
+            yield blocks(BIGRAM, key, parts, y[m], z[m], doc[m], k[m], own_b[m], own_y[m])
+
+    return apply
+
+
+def score_bigrams(table, parts: int, size: int):
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = gathered(batches)
+        if BIGRAM not in got:
+            return
+        hot, common = table.value["grams"], table.value["words"]
+        y, z, doc, k, own_b, own_y = got.pop(BIGRAM)
+        one, two, n = got.pop(BIGRAM_COUNT, [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)])
+
+        def total(name: np.ndarray, known: np.ndarray, asked: np.ndarray) -> np.ndarray:
+            if not len(n):
+                return known
+            first, at = groups(name)
+            names, sums = name[first], _sums(at, n)
+            order = np.argsort(names)
+            return np.where(known > 0, known, look((names[order], sums[order]), asked))
+
+        b = join(y, z)
+        n2 = total(two, look(hot, b), b) - own_b
+        hit = np.flatnonzero(n2 > 0)
+        if len(hit):
+            n1 = total(one, look(hot, _context(y)), y) - own_y
+            yield _done(doc[hit], k[hit], True, np.log(ALPHA * n2[hit] / n1[hit]), parts)
+        m = np.flatnonzero(n2 <= 0)
+        if len(m):
+            z, doc, k = z[m], doc[m], k[m]
+            c = look(common, z)
+            ready = np.flatnonzero(c > 0)
+            if len(ready):
+                yield _done(doc[ready], k[ready], True, np.log(ALPHA * ALPHA * c[ready] / size), parts)
+            rest = np.flatnonzero(c == 0)
+            if len(rest):
+                yield blocks(WORD, z[rest], parts, z[rest], doc[rest], k[rest])
+
+    return apply
+
+
+def score_words(parts: int, size: int):
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = gathered(batches)
+        if WORD not in got:
+            return
+        z, doc, k = got.pop(WORD)
+        names, n = got.pop(WORD_COUNT)
+        order = np.argsort(names)
+        yield _done(doc, k, True, np.log(ALPHA * ALPHA * look((names[order], n[order]), z) / size), parts)
+
+    return apply
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for doc, k, less, lp in gathered(batches).values():
+        first, name = groups(_spread(doc))
+        yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(_sums(name, k)), pa.array(_sums(name, less)), pa.array(np.bincount(name, lp))], ["doc_id", "k", "b", "lp"])
 
 
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_words, backed_off, log_score): the sum of the natural logs of the scores of the document's words; ``backed_off`` of them by less than a trigram."""
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        # rows of one id are one document: its texts follow each other, their own words apart
+        # rows of one id are one document: its texts follow each other
         docs = store.cut(docs.groupBy("doc_id").agg(F.array_join(F.array_sort(F.array_agg("text")), "\n").alias("text")))
     spark = docs.sparkSession
-    counts = store.cut(counted(docs))
-    size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    table = spark.sparkContext.broadcast(frequent(docs, docs.count()))  # bounded by the sample
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (rounds * TASK)))
-    parts = []
+    about = docs.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-about["chars"] // (4 * rounds * TASK)))
+    counts = store.cut(counted(docs, frequent(docs, about["docs"]), parts))
+    size = counts.where(F.col("kind") == WORD_COUNT).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    table = spark.sparkContext.broadcast({"grams": listed(counts, GRAM_COUNT), "words": listed(counts, WORD_COUNT, max(1, size * COMMON))})
+    words = counts.where(F.col("kind") == WORD_COUNT).select("kind", "part", "rows")
+    of = lambda df, *kinds: df.where(F.col("kind").isin(*kinds))
+    sums = []
     for r in range(rounds):
         with store.scope():
-            left = store.cut(trigrams(docs, table, r, rounds).repartition(tasks, "key").mapInArrow(_score_trigrams, SUMS))
-            have = bigrams(docs, table, r, rounds)
-            ask = _asked(left, table)
-            both = ask.withColumn("n", F.lit(None).cast("long")).unionByName(have, allowMissingColumns=True)
-            rest = store.cut(both.repartition(tasks, "key").mapInArrow(_score_bigrams, SUMS))
-            words = (
-                rest.where(F.col("kind") == WORD).select("doc_id", F.col("z").alias("gram"), "k").join(counts.hint("merge"), "gram")
-                .select("doc_id", "k", (F.log(F.lit(ALPHA * ALPHA / max(size, 1)) * F.col("n")) * F.col("k")).alias("lp"), F.col("k").alias("b"))
-            )
-            done = left.where(F.col("kind") == DONE).select("doc_id", "k", "lp", F.lit(0).cast("long").alias("b"))
-            less = rest.where(F.col("kind") == DONE).select("doc_id", "k", "lp", F.col("k").alias("b"))
-            sums = done.union(less).union(words).groupBy("doc_id").agg(F.sum("lp").alias("lp"), F.sum("k").alias("k"), F.sum("b").alias("b"))
-            parts.append(store.cut(sums, outer=True))
-    out = parts[0]
-    for p in parts[1:]:
+            left = store.cut(trigrams(docs, table, r, rounds, parts).repartitionById(parts, "part").mapInArrow(score_trigrams(table, parts), BLOCK))
+            rest = store.cut(of(left, BIGRAM, BIGRAM_COUNT).repartitionById(parts, "part").mapInArrow(score_bigrams(table, parts, size), BLOCK))
+            last = of(rest, WORD).union(words).repartitionById(parts, "part").mapInArrow(score_words(parts, size), BLOCK)
+            done = of(left, DONE).union(of(rest, DONE)).union(last)
+            sums.append(store.cut(done.repartitionById(parts, "part").mapInArrow(_summed, "doc_id long, k long, b long, lp double"), outer=True))
+    out = sums[0]
+    for p in sums[1:]:
         out = out.union(p)
     return out.groupBy("doc_id").agg(F.sum("k").alias("n_words"), F.sum("b").alias("backed_off"), F.sum("lp").alias("log_score"))
 
