@@ -40,7 +40,7 @@ from . import store
 from . import words as W
 
 ALPHA = 0.4
-ROUNDS = 3
+ROUNDS = 4
 START = W.U64(0x5354415254)
 #: Documents in which frequent n-grams are looked for, at least, and how often they must stand there.
 SAMPLE, FREQUENT = 16_384, 64
@@ -172,12 +172,24 @@ def frequent(docs: DataFrame, n_docs: int) -> np.ndarray:
     return np.sort(found.view(np.uint64))
 
 
-def look(table: tuple[np.ndarray, np.ndarray], names: np.ndarray) -> np.ndarray:
-    """Counts from the sorted table, 0 for names that it hasn't."""
-    if not len(table[0]):
-        return np.zeros(len(names), np.int64)
-    at = np.minimum(np.searchsorted(table[0], names), len(table[0]) - 1)
-    return np.where(table[0][at] == names, table[1][at], 0)
+class Table:
+    """Counts by name; a table of the names' high bits turns away most names that it hasn't."""
+
+    def __init__(self, names: np.ndarray, n: np.ndarray):
+        order = np.argsort(names)
+        self.names, self.n = names[order], n[order]
+        self.shift = W.U64(64 - min(24, max(10, (16 * len(names)).bit_length())))
+        self.seen = np.zeros(1 << 64 - int(self.shift), bool)
+        self.seen[self.names >> self.shift] = True
+
+    def look(self, names: np.ndarray) -> np.ndarray:
+        """Counts, 0 for names that it hasn't."""
+        out = np.zeros(len(names), np.int64)
+        if len(self.names):
+            maybe = np.flatnonzero(self.seen[names >> self.shift])
+            at = np.minimum(np.searchsorted(self.names, names[maybe]), len(self.names) - 1)
+            out[maybe] = np.where(self.names[at] == names[maybe], self.n[at], 0)
+        return out
 
 
 def counted(docs: DataFrame, names: np.ndarray, parts: int) -> DataFrame:
@@ -185,14 +197,14 @@ def counted(docs: DataFrame, names: np.ndarray, parts: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(names)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = (shared.value, np.ones(len(shared.value), np.int64))
+        hot = Table(shared.value, np.ones(len(shared.value), np.int64))
         for batch in batches:
             for _, x, y, z in tokens(batch):
                 first, name = groups(z)
                 yield blocks(WORD_COUNT, z[first], parts, z[first], np.bincount(name))
                 if len(shared.value):
                     g = _names(x, y, z)
-                    g = g[look(hot, g) > 0]
+                    g = g[hot.look(g) > 0]
                     if len(g):
                         first, name = groups(g)
                         yield blocks(GRAM_COUNT, g[first], parts, g[first], np.bincount(name))
@@ -208,17 +220,15 @@ def counted(docs: DataFrame, names: np.ndarray, parts: int) -> DataFrame:
     return docs.mapInArrow(apply, BLOCK).repartitionById(parts, "part").mapInArrow(add, BLOCK + ", n long")
 
 
-def listed(counts: DataFrame, kind: int, least: float = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(names, counts) of a kind, from ``least`` on, sorted by name; for what is bounded."""
+def listed(counts: DataFrame, kind: int, least: float = 0) -> Table:
+    """The counts of a kind, from ``least`` on; for what is bounded."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g, n in gathered(batches).values():
             yield pa.RecordBatch.from_arrays([W.to_long(g[n >= least]), pa.array(n[n >= least])], ["gram", "n"])
 
     got = counts.where(F.col("kind") == kind).select("kind", "rows").mapInArrow(apply, "gram long, n long").toArrow()
-    names, n = got["gram"].to_numpy().view(np.uint64), got["n"].to_numpy()
-    order = np.argsort(names)
-    return names[order], n[order]
+    return Table(got["gram"].to_numpy().view(np.uint64), got["n"].to_numpy())
 
 
 def trigrams(docs: DataFrame, table, part: int, rounds: int, parts: int) -> DataFrame:
@@ -239,8 +249,10 @@ def trigrams(docs: DataFrame, table, part: int, rounds: int, parts: int) -> Data
                 first, k = first[order], np.bincount(name)[order]
                 own, own_b, own_y = (np.bincount(n)[n[first]] for n in (groups(h ^ mine)[1] for h in (xy, yz, y)))
                 doc, xy, y, z = doc[first], xy[first], y[first], z[first]
-                key = np.where(look(hot, _context(xy)) > 0, join(xy, z), xy)
-                key = np.where(look(hot, join(xy, z)) > 0, _spread(doc), key)
+                key = xy.copy()
+                if len(at := np.flatnonzero(hot.look(_context(xy)))):
+                    g = join(xy[at], z[at])
+                    key[at] = np.where(hot.look(g) > 0, _spread(doc[at]), g)
                 yield blocks(TRIGRAM, W.mix64(key), parts, xy, y, z, doc, k, own, own_b, own_y)
 
     return docs.mapInArrow(apply, BLOCK)
@@ -253,8 +265,8 @@ def _done(doc: np.ndarray, k: np.ndarray, less: bool, lp: np.ndarray, parts: int
     return blocks(DONE, _spread(doc[first]), parts, doc[first], n, n * less, np.bincount(name, k * lp))
 
 
-def _bigram_key(hot: tuple, y: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return W.mix64(np.where(look(hot, _context(y)) > 0, b, y))
+def _bigram_key(hot: Table, y: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return W.mix64(np.where(hot.look(_context(y)) > 0, b, y))
 
 
 def score_trigrams(table, parts: int):
@@ -266,13 +278,13 @@ def score_trigrams(table, parts: int):
         xy, y, z, doc, k, own, own_b, own_y = got.pop(TRIGRAM)
         g = join(xy, z)
         _, name = groups(g)
-        c3 = look(hot, g)
+        c3 = hot.look(g)
         n3 = np.where(c3 > 0, c3, _sums(name, k)[name]) - k
         del g, c3
         hit = np.flatnonzero(n3 > 0)
         if len(hit):
             _, name = groups(xy)
-            c2 = look(hot, _context(xy))
+            c2 = hot.look(_context(xy))
             n2 = np.where(c2 > 0, c2, _sums(name, k)[name]) - own
             yield _done(doc[hit], k[hit], False, np.log(n3[hit] / n2[hit]), parts)
             del c2, n2
@@ -280,12 +292,12 @@ def score_trigrams(table, parts: int):
         b = join(y, z)
         first, name = groups(b)
         n, one, two = _sums(name, k), y[first], b[first]
-        cold = look(hot, two) == 0
+        cold = hot.look(two) == 0
         if cold.any():
             yield blocks(BIGRAM_COUNT, _bigram_key(hot, one[cold], two[cold]), parts, one[cold], two[cold], n[cold])
         m = np.flatnonzero(n3 <= 0)
         if len(m):
-            key = np.where(look(hot, b[m]) > 0, W.mix64(_spread(doc[m])), _bigram_key(hot, y[m], b[m]))
+            key = np.where(hot.look(b[m]) > 0, W.mix64(_spread(doc[m])), _bigram_key(hot, y[m], b[m]))
             yield blocks(BIGRAM, key, parts, y[m], z[m], doc[m], k[m], own_b[m], own_y[m])
 
     return apply
@@ -304,20 +316,18 @@ def score_bigrams(table, parts: int, size: int):
             if not len(n):
                 return known
             first, at = groups(name)
-            names, sums = name[first], _sums(at, n)
-            order = np.argsort(names)
-            return np.where(known > 0, known, look((names[order], sums[order]), asked))
+            return np.where(known > 0, known, Table(name[first], _sums(at, n)).look(asked))
 
         b = join(y, z)
-        n2 = total(two, look(hot, b), b) - own_b
+        n2 = total(two, hot.look(b), b) - own_b
         hit = np.flatnonzero(n2 > 0)
         if len(hit):
-            n1 = total(one, look(hot, _context(y)), y) - own_y
+            n1 = total(one, hot.look(_context(y)), y) - own_y
             yield _done(doc[hit], k[hit], True, np.log(ALPHA * n2[hit] / n1[hit]), parts)
         m = np.flatnonzero(n2 <= 0)
         if len(m):
             z, doc, k = z[m], doc[m], k[m]
-            c = look(common, z)
+            c = common.look(z)
             ready = np.flatnonzero(c > 0)
             if len(ready):
                 yield _done(doc[ready], k[ready], True, np.log(ALPHA * ALPHA * c[ready] / size), parts)
@@ -335,8 +345,7 @@ def score_words(parts: int, size: int):
             return
         z, doc, k = got.pop(WORD)
         names, n = got.pop(WORD_COUNT)
-        order = np.argsort(names)
-        yield _done(doc, k, True, np.log(ALPHA * ALPHA * look((names[order], n[order]), z) / size), parts)
+        yield _done(doc, k, True, np.log(ALPHA * ALPHA * Table(names, n).look(z) / size), parts)
 
     return apply
 
