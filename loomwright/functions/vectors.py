@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
@@ -114,3 +115,48 @@ class ModelEmbedding:
 
     def queries(self, text: Column) -> Column:
         return self._udf("search_query: ")(text)
+
+
+class ModelScorer:
+    """A cross-encoder behind an Arrow UDF; its scores go through a sigmoid.
+
+    ``load()`` returns a function from (query, texts) to raw scores.  It runs
+    once per Python worker, for ``wait`` seconds at most; a load that failed or
+    took longer is not tried again there, and its scores are null.
+    """
+
+    #: name -> (state, model); a name that isn't here is idle.
+    _models: dict = {}
+
+    def __init__(self, load, name: str, batch: int = 20, wait: float = 120.0):
+        self.load, self.name, self.batch, self.wait = load, name, batch, wait
+
+    def model(self):
+        """The loaded model or None; a Python worker runs one task at a time, so it is loaded once."""
+        if self.name not in ModelScorer._models:
+            pool = ThreadPoolExecutor(1)
+            try:
+                ModelScorer._models[self.name] = ("done", pool.submit(self.load).result(self.wait))
+            except Exception:  # whatever a library raises, its scores are missing
+                ModelScorer._models[self.name] = ("failed", None)
+            finally:
+                pool.shutdown(wait=False)
+        return ModelScorer._models[self.name][1]
+
+    def state(self) -> str:
+        return ModelScorer._models.get(self.name, ("idle", None))[0]
+
+    def scores(self, query: str, text: Column) -> Column:
+        scorer = self
+
+        @F.pandas_udf(T.DoubleType())
+        def score(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = scorer.model()
+            for texts in it:
+                ready, out = list(texts.fillna("")), []
+                for a in range(0, len(ready), scorer.batch):
+                    part = ready[a : a + scorer.batch]
+                    out += [None] * len(part) if model is None else [float(x) for x in model(query, part)]
+                yield pd.Series(out, dtype="float64")
+
+        return 1 / (1 + F.exp(-score(text)))

@@ -218,22 +218,46 @@ def semantic(docs: DataFrame, key: str, text: str, embed, threshold: float = 0.7
     """(key, chunk_index, text); a new chunk begins where neighbouring sentences are less alike than ``threshold``.
 
     Sentences are explored by a lag over their embeddings and a running sum of
-    breaks.  Short sentences stay with the one before them.
+    breaks.  Short sentences stay with the one before them, and a chunk has two
+    sentences or more where another follows: of breaks in a row every second counts.
     """
     w = Window.partitionBy(key).orderBy("pos")
     parts = docs.select(F.col(key), F.posexplode(F.split(F.col(text), SENTENCE_END, -1)).alias("pos", "s")).where(strip(F.col("s")) != "")
     parts = parts.withColumn("e", embed(F.col("s"))).withColumn("before", F.lag("e").over(w))
     brk = F.col("before").isNotNull() & (F.length("s") >= least_chars) & (cosine(F.col("e"), F.col("before")) < threshold)
-    parts = parts.withColumn("g", F.sum(brk.cast("int")).over(w))
+    parts = parts.withColumns({"n": F.row_number().over(w), "b": brk}).withColumn("b", F.col("b") | (F.col("n") == 1))
+    row = Window.partitionBy(key, "b").orderBy("pos")
+    parts = parts.withColumn("run", F.col("n") - F.row_number().over(row))
+    nth = F.row_number().over(Window.partitionBy(key, "b", "run").orderBy("pos"))
+    parts = parts.withColumn("cut", F.col("b") & (nth % 2 == 1) & (F.col("n") > 1)).withColumn("g", F.sum(F.col("cut").cast("int")).over(w))
     joined = parts.groupBy(key, "g").agg(F.array_sort(F.array_agg(F.struct("pos", "s"))).alias("p"))
     return joined.select(key, F.col("g").cast("int").alias("chunk_index"), strip(F.array_join(F.transform("p", lambda x: x["s"]), "")).alias("text"))
 
 
+def semantic_chunks(docs: DataFrame, key: str, text: str, embed, size: int = SIZE, least: int = LEAST, share: float = SHARE, fixed: int = OVERLAP) -> DataFrame:
+    """K11 whole: (key, chunks) by similarity of sentences, those over ``size`` cut, small ones merged, then overlap."""
+    parts = semantic(docs, key, text, embed).groupBy(key).agg(F.array_sort(F.array_agg(F.struct("chunk_index", "text"))).alias("p"))
+    fits = F.flatten(F.transform(F.transform("p", lambda x: x["text"]), lambda c: F.when(estimate_tokens(c) <= size, F.array(c)).otherwise(group_paragraphs(c, size))))
+    return parts.select(key, overlap(merge_small(fits, size, least), size, share, fixed).alias("chunks"))
+
+
+def with_fallback(docs: DataFrame, key: str, text: str, embed=None, size: int = SIZE) -> DataFrame:
+    """K07's chain: (key, strategy, chunks) of the first of hybrid, semantic (with an embedder) and recursive that gives any; blank texts have none."""
+    done = docs.select(F.col(key), F.col(text), hybrid(F.col(text), size).alias("chunks")).withColumn("strategy", F.lit("hybrid"))
+    if embed is not None:
+        more = semantic_chunks(docs, key, text, embed, size).withColumnRenamed("chunks", "_s")
+        done = done.join(more, key, "left").withColumns({"strategy": F.when((F.size("chunks") > 0) | F.col("_s").isNull(), F.col("strategy")).otherwise("semantic"), "chunks": F.when((F.size("chunks") > 0) | F.col("_s").isNull(), F.col("chunks")).otherwise(F.col("_s"))})
+    last = F.when(F.size("chunks") > 0, F.array().cast("array<string>")).otherwise(recursive(F.col(text), size))
+    done = done.withColumn("_r", last)
+    none = F.size("chunks") == 0
+    return done.select(key, F.when(none, "recursive").otherwise(F.col("strategy")).alias("strategy"), F.when(none, F.col("_r")).otherwise(F.col("chunks")).alias("chunks"))
+
+
 STRATEGIES = ("hybrid", "recursive", "paragraph")
 
 
 def chunks_by(strategy: str, text: Column, size: int = SIZE) -> Column:
-    """The splitter by name; blank texts have no chunks in any."""
+    """The splitter by name; blank texts have no chunks in any.  ``semantic`` needs rows, see :func:`semantic_chunks`."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; known: {STRATEGIES}")
     return {"hybrid": hybrid, "recursive": recursive, "paragraph": group_paragraphs}[strategy](text, size)

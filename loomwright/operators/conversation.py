@@ -18,9 +18,15 @@ def message_tokens(text: Column, tool: Column | None = None) -> Column:
     return n if tool is None else n + agent_tokens(F.coalesce(tool, F.lit("")))
 
 
+def called(calls: str = "tool_calls") -> Column:
+    """Names and arguments of a message's tool calls as one text."""
+    return F.array_join(F.transform(F.coalesce(F.col(calls), F.array().cast("array<struct<id:string,name:string,arguments:string>>")), lambda c: F.concat(F.coalesce(c["name"], F.lit("")), F.coalesce(c["arguments"], F.lit("")))), "")
+
+
 def totals(messages: DataFrame, system: int = 0, limit: int = WINDOW) -> DataFrame:
-    """(conv_id, tokens, shrink)."""
-    t = messages.groupBy("conv_id").agg((F.sum(message_tokens(F.col("text"))) + system).cast("long").alias("tokens"))
+    """(conv_id, tokens, shrink); tool calls count where the messages have them."""
+    tool = called() if "tool_calls" in messages.columns else None
+    t = messages.groupBy("conv_id").agg((F.sum(message_tokens(F.col("text"), tool)) + system).cast("long").alias("tokens"))
     return t.withColumn("shrink", F.col("tokens") > int(limit * RATIO))
 
 
@@ -43,14 +49,19 @@ def shrink(messages: DataFrame, keep: int = LAST) -> DataFrame:
     start = F.max(F.when((F.col("_b") >= keep) & (F.col("role") != "tool"), F.col("turn"))).over(per)
     rows = rows.withColumn("_old", (F.col("_n") > keep + 2) & (F.col("turn") < F.coalesce(start, F.lit(0))))
     kept = rows.where(~F.col("_old")).select("conv_id", "turn", "role", "text")
-    said = rows.where("_old").groupBy("conv_id").agg(summary("role", "text", "turn").alias("text"))
+    said = rows.where("_old").groupBy("conv_id").agg(summary("role", "text", "turn", "tool_calls" if "tool_calls" in messages.columns else None).alias("text"))
     return kept.unionByName(said.select("conv_id", F.lit(-1).cast("long").alias("turn"), F.lit("system").alias("role"), "text"))
 
 
-def summary(role: str, text: str, order: str) -> Column:
-    """What the user said, 200 characters each."""
+def summary(role: str, text: str, order: str, calls: str | None = None) -> Column:
+    """What the user said, 200 characters each, and the names of the tools that were called."""
     said = F.array_agg(F.when(F.col(role) == "user", F.struct(order, F.substring(text, 1, 200).alias("t"))))
-    return F.array_join(F.transform(F.array_sort(said), lambda x: x["t"]), " | ")
+    users = F.array_join(F.transform(F.array_sort(said), lambda x: x["t"]), " | ")
+    if calls is None:
+        return users
+    names = F.array_sort(F.array_agg(F.when(F.col(role) == "assistant", F.struct(order, F.filter(F.transform(calls, lambda c: c["name"]), lambda n: n != "").alias("t")))))
+    tools = F.array_join(F.flatten(F.filter(F.transform(names, lambda x: x["t"]), lambda t: t.isNotNull())), ", ")
+    return F.concat_ws("; ", F.when(users != "", F.concat(F.lit("用户请求: "), users)), F.when(tools != "", F.concat(F.lit("调用过的工具: "), tools)))
 
 
 def transcript(messages: DataFrame, most: int = 2000) -> DataFrame:

@@ -24,6 +24,7 @@ def upsert_entities(calls: DataFrame, order: str = "seq") -> DataFrame:
     heads = rows.groupBy("key").agg(
         F.min_by("name", order).alias("name"),
         F.min_by(F.when(F.col("type") != "", F.col("type")), F.when(F.col("type") != "", F.col(order))).alias("type"),
+        *([F.min("created_at").alias("created_at")] if "created_at" in calls.columns else []),
     )
     return heads
 
@@ -90,6 +91,16 @@ def snapshot(obs: DataFrame, most: int = 10) -> DataFrame:
     return top.select("key", "n", F.array_join(F.transform(F.slice("o", 1, 3), lambda x: x["text"]), "; ").alias("summary"))
 
 
+def snapshot_lines(entities: DataFrame, obs: DataFrame, edges: DataFrame, most: int = 10, order: str = "seq") -> DataFrame:
+    """G10 whole: (kind, place, line): entities with their types first, then the first half as many relations."""
+    top = snapshot(obs, most).join(entities.select("key", "name", "type"), "key", "left")
+    kind = F.when(F.coalesce("type", F.lit("")) != "", F.concat(F.lit(" ("), "type", F.lit(")"))).otherwise("")
+    a = top.select(F.lit(0).alias("kind"), F.row_number().over(Window.orderBy(F.desc("n"), "key")).alias("place"), F.concat(F.lit("- "), F.coalesce("name", "key"), kind, F.lit(": "), "summary").alias("line"))
+    first = edges.orderBy(order).limit(most // 2)
+    b = first.select(F.lit(1).alias("kind"), F.row_number().over(Window.orderBy(order)).alias("place"), F.concat(F.lit("- "), "source", F.lit(" --["), "label", F.lit("]--> "), "target").alias("line"))
+    return a.unionByName(b)
+
+
 def parse_extraction(reply: Column) -> Column:
     """A model's reply, fenced or bare, as a graph; anything else is an empty one."""
     body = F.regexp_extract(reply, r"(\{[\s\S]*\})", 1)
@@ -104,6 +115,12 @@ def apply_extraction(replies: DataFrame, reply: str, order: str = "seq") -> tupl
     return ents, rels
 
 
+def extracted_facts(ents: DataFrame, order: str = "seq") -> DataFrame:
+    """(seq, fact) that go to the daily facts too, ``name: observation``."""
+    rows = ents.select(order, "name", F.posexplode("observations").alias("pos", "o"))
+    return rows.where((strip(F.col("o")) != "") & (strip(F.col("name")) != "")).select(order, F.concat(strip(F.col("name")), F.lit(": "), strip(F.col("o"))).alias("fact"))
+
+
 def migrate(facts: DataFrame, obs: DataFrame, entity: str = "General") -> DataFrame:
     """Flat facts become observations of one entity, but for those it has."""
     rows = facts.select(F.lit(entity.lower()).alias("key"), strip(F.col("fact")).alias("text")).where("text <> ''").distinct()

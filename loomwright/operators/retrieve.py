@@ -57,6 +57,31 @@ def bm25(chunks: DataFrame, terms: list[str], key: str, text: str = "text", toke
     return hit.select(key, score.alias("score"))
 
 
+def indexed_postings(chunks: DataFrame, key: str = "id", text: str = "text", source: str = "source", tokenize: Callable[[Column], Column] = words) -> DataFrame:
+    """(term, id, source, tf, dl) as they are stored; sorted by term, a search reads the row groups of its terms."""
+    tokens = chunks.select(F.col(key).cast("string").alias("id"), F.col(source).alias("source"), tokenize(F.col(text)).alias("t"))
+    counted = tokens.select("id", "source", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).groupBy("term", "id", "source", "dl").agg(F.count("*").alias("tf"))
+    return counted.select("term", "id", "source", "tf", "dl")
+
+
+def indexed_lengths(chunks: DataFrame, text: str = "text", source: str = "source", tokenize: Callable[[Column], Column] = words) -> DataFrame:
+    """(source, n, dl): rows and terms of each source."""
+    return chunks.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n"), F.sum(F.size(tokenize(F.col(text)))).cast("long").alias("dl"))
+
+
+def bm25_indexed(postings: DataFrame, lengths: DataFrame, terms: list[str], where: Column | None = None) -> DataFrame:
+    """R04 from the stored index: (id, score); ``where`` is a condition on ``source``."""
+    if where is not None:
+        postings, lengths = postings.where(where), lengths.where(where)
+    hits = postings.where(F.col("term").isin(*sorted(set(terms)))) if terms else postings.limit(0)
+    total = lengths.agg(F.sum("n").alias("n"), (F.sum("dl") / F.sum("n")).alias("avgdl"))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    rows = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(total))  # a row for each term of the query, one row
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return rows.groupBy("id").agg(F.sum(score).alias("score"))
+
+
 def bm25_sql(table: str, key: str, text: str, terms: list[str], limit: int | None = None) -> str:
     """R04 in DuckDB, from postings."""
     listed = ", ".join(f"'{t}'" for t in sorted(set(terms)))
@@ -95,6 +120,16 @@ def rerank(candidates: DataFrame, score: Column, k: int = 3, least: float = CUT)
     return candidates.withColumn("rerank_score", score).orderBy(F.desc("rerank_score"), "merged").limit(k).where(F.col("rerank_score") >= least)
 
 
+def rerank_or_fallback(candidates: DataFrame, score: Column, k: int = 3, least: float = CUT, mode: str = "reference") -> DataFrame:
+    """R06, and R07 where the scorer failed (null) or leaves nothing.  Candidates are a top-k list, so one task holds them."""
+    rows = candidates.withColumn("_s", score)
+    rows = rows.withColumn("_r", F.row_number().over(Window.orderBy(F.desc_nulls_last("_s"), "merged")))
+    rows = rows.withColumn("_ok", F.coalesce((F.col("_r") <= k) & (F.col("_s") >= least), F.lit(False)))
+    rows = rows.withColumn("_any", F.max("_ok").over(Window.partitionBy(F.lit(0))))
+    rows = rows.withColumn("rerank_score", F.when(F.col("_any"), F.col("_s")).otherwise(rescore(F.col("score"), mode)))
+    return rows.where(F.col("_ok") | ~F.col("_any")).drop("_s", "_r", "_ok", "_any").orderBy(F.desc("rerank_score"), "merged").limit(k)
+
+
 def at_least(rows: DataFrame, least: float, score: str = "score") -> DataFrame:
     """Nothing is dropped where ``least`` is 0 or below."""
     return rows if least <= 0 else rows.where(F.col(score) >= least)

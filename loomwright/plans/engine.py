@@ -9,19 +9,21 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import outline
-from ..functions.vectors import Md5Embedding, Provider, normalize
+from ..functions.vectors import Md5Embedding, ModelScorer, Provider, normalize
 from ..operators import chunk, retrieve, sync
 from ..sinks.tables import VersionedTable
 from ..sources import scan
+from .index import TextIndex
 
 
 class Engine:
     """Incremental ingest of a directory and search over it; all state is in versioned tables below ``state``."""
 
-    def __init__(self, spark: SparkSession, root: str, state: str, embed: Provider | None = None):
-        self.spark, self.root, self.embed = spark, root, embed or Md5Embedding()
+    def __init__(self, spark: SparkSession, root: str, state: str, embed: Provider | None = None, scorer: ModelScorer | None = None):
+        self.spark, self.root, self.embed, self.scorer = spark, root, embed or Md5Embedding(), scorer
         self.chunks = VersionedTable(spark, f"{state}/chunks", schemas.CHUNKS)
-        self.documents = VersionedTable(spark, f"{state}/documents", schemas.DOCUMENTS)
+        self.documents = VersionedTable(spark, f"{state}/documents", schemas.DOCUMENTS, "doc_name")
+        self.index = TextIndex(spark, state)
         self.manifest = VersionedTable(spark, f"{state}/manifest", schemas.MANIFEST)
 
     def embedded(self, rows: DataFrame) -> DataFrame:
@@ -35,7 +37,10 @@ class Engine:
         old = self.manifest.read()
         status = sync.diff(files.select("source", "mtime", "size"), old, force).persist()
         todo = status.where("status <> 'unchanged'").select("source")
-        parsed = scan.documents(files.join(todo, "source", "left_semi"))
+        if cancelled():
+            status.unpersist()
+            return {"cancelled": True}
+        parsed = scan.documents(files.join(todo, "source", "left_semi").repartition("source"))  # parsing is spread by file, not by size
         pieces = chunk.hybrid(F.col("text"))
         parsed = parsed.withColumns({"pieces": F.when(F.col("status") == "ok", pieces), "content_hash": sync.content_hash(F.col("text"))})
         parsed = parsed.withColumn("chunk_count", F.coalesce(F.size("pieces"), F.lit(0))).persist()
@@ -44,14 +49,14 @@ class Engine:
         if cancelled():
             return report | {"cancelled": True}
         ok = parsed.where("status = 'ok'")
-        kept = sync.delete_by_source(self.chunks.read(), gone.unionByName(ok.select("source")))
-        self.chunks.commit(kept.unionByName(self.embedded(chunk.chunk_documents(ok, F.col("pieces")))))
+        keys = gone.unionByName(ok.select("source"))
+        self.chunks.replace(keys, self.embedded(chunk.chunk_documents(ok, F.col("pieces"))))
+        now = self.chunks.read().join(ok.select("source"), "source", "left_semi")
+        self.index.replace(keys, now)
         made = outline.digests(ok, "source", "text").join(ok.select("source", "text"), "source")
         rows = made.select(sync.document_id(F.col("source")).alias("doc_id"), F.col("source").alias("doc_name"), "digest", F.col("text").alias("markdown"), "chapters")
-        docs = self.documents.read().join(gone.unionByName(ok.select("source")).withColumnRenamed("source", "doc_name"), "doc_name", "left_anti")
-        self.documents.commit(docs.unionByName(rows))
-        unchanged = old.join(status.where("status = 'unchanged'").select("source"), "source", "left_semi")
-        self.manifest.commit(sync.next_manifest(parsed, unchanged))
+        self.documents.replace(keys.withColumnRenamed("source", "doc_name"), rows)
+        self.manifest.replace(gone.unionByName(todo), sync.next_manifest(parsed, old.limit(0)))
         for df in (status, parsed, gone):
             df.unpersist()
         return report
@@ -62,12 +67,17 @@ class Engine:
         return list(one.first()["v"])
 
     def search(self, query: str, k: int = 3, source: str | None = None) -> DataFrame:
-        """(id, source, chunk_index, text, rerank_score)."""
+        """(id, source, chunk_index, text, rerank_score); texts are asked of the stored index, a scorer sees the merged candidates."""
         rows = self.chunks.read()
         where = None if source is None else F.col("source").contains(source)
         terms = [r["w"] for r in self.spark.range(1).select(F.explode(retrieve.words(F.lit(query))).alias("w")).collect()]
-        hits = retrieve.hybrid_search(rows, self.query_vector(query), terms, k, "id", where=where)
-        return hits.join(rows.select("id", "source", "chunk_index", "text"), "id").orderBy(F.desc("rerank_score"), "merged")
+        many = k * retrieve.OVERFETCH
+        near = retrieve.vector_search(rows, self.query_vector(query), many, where=where, keys=("id",)).select("id", "score")
+        said = self.index.search(terms, where).orderBy(F.desc("score"), "id").limit(many)
+        both = retrieve.merge(near, said, ["id"]).join(rows.select("id", "source", "chunk_index", "text"), "id")
+        if self.scorer is None:
+            return retrieve.rerank_fallback(both, k)
+        return retrieve.rerank_or_fallback(both, self.scorer.scores(query, F.col("text")), k)
 
     def search_text(self, query: str, k: int = 3, source: str | None = None, per_hit: int = 1500, total: int = 8000) -> str:
         """R11."""
@@ -93,7 +103,7 @@ class Engine:
         return n
 
     def clear(self) -> None:
-        for t in (self.chunks, self.documents, self.manifest):
+        for t in (self.chunks, self.index, self.documents, self.manifest):
             t.clear()
 
     def status(self) -> dict:

@@ -9,6 +9,7 @@ from ..functions import vectors as V
 from ..operators import chunk as K
 from ..operators import conversation as H
 from ..operators import deps, graph, retrieve, skills, sync
+from . import index
 from .registry import query
 
 _DOT = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: {0}[i]::DOUBLE * {1}[i]::DOUBLE))"
@@ -76,7 +77,9 @@ TERMS = ["the", "and", "that", "with"]
 
 @query("r04_bm25", retrieve.bm25_sql("documents", "doc_id", "text", TERMS, 12))
 def r04(t):
-    return retrieve.bm25(t("documents"), TERMS, "doc_id").select("doc_id", F.round("score", 4).alias("score")).orderBy(F.desc("score"), "doc_id").limit(12)
+    """From the stored index."""
+    rows = index.of_table(t("documents"), "doc_id").search(TERMS)
+    return rows.select(F.col("id").cast("long").alias("doc_id"), F.round("score", 4).alias("score")).orderBy(F.desc("score"), "doc_id").limit(12)
 
 
 @query("r04_bm25_all", retrieve.bm25_sql("documents", "doc_id", "text", TERMS))
@@ -109,7 +112,7 @@ def _channels(t, where=None):
     q = t("benchmark").orderBy("item_id").limit(1).select(V.normalize(embed.queries(F.col("text")))).first()[0]
     rows = docs.withColumn("v", V.normalize(embed.documents(F.col("text"))))
     a = retrieve.vector_search(rows, list(q), 12, "v", keys=("doc_id",)).select("doc_id", F.round("score", 9).alias("score"))
-    b = retrieve.bm25(docs, TERMS, "doc_id").withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "doc_id").limit(12)
+    b = index.of_table(t("documents"), "doc_id").search(TERMS, where).select(F.col("id").cast("long").alias("doc_id"), F.round("score", 9).alias("score")).orderBy(F.desc("score"), "doc_id").limit(12)
     return a, b
 
 
@@ -193,22 +196,29 @@ def i03(t):
     return sync.deleted(new, old)
 
 
-_PARSED = "(SELECT doc_id::VARCHAR AS source, CASE WHEN doc_id % 10 = 3 THEN 'error' ELSE 'ok' END AS status, text, n_chars FROM documents WHERE doc_id % 4 = 1)"
+_PARSED = f"(SELECT doc_id::VARCHAR AS source, CASE WHEN doc_id % 10 = 3 THEN 'error' ELSE 'ok' END AS status, text, n_chars FROM documents JOIN (SELECT n.source AS touched FROM {_NEW} n LEFT JOIN {_OLD} o USING (source, mtime, size) WHERE o.source IS NULL) ON touched = doc_id::VARCHAR)"
 
 
-@query("i08_next_manifest", f"SELECT source, n_chars AS size, substr(sha256(text), 1, 16) AS content_hash FROM {_PARSED} WHERE status = 'ok' UNION ALL SELECT doc_id::VARCHAR, n_chars, 'kept' FROM documents WHERE doc_id % 4 = 2")
+def _parsed(t, status):
+    """What the new and modified files gave."""
+    d = t("documents").select(F.col("doc_id").cast("string").alias("source"), "text", F.lit(1).alias("chunk_count"), F.when(F.col("doc_id") % 10 == 3, "error").otherwise("ok").alias("status"))
+    return d.join(status.where("status <> 'unchanged'").select("source"), "source", "left_semi")
+
+
+@query("i08_next_manifest", f"SELECT source, n_chars AS size, substr(sha256(text), 1, 16) AS content_hash FROM {_PARSED} WHERE status = 'ok' UNION ALL SELECT n.source, n.size, 'kept' FROM {_NEW} n JOIN {_OLD} o USING (source, mtime, size)")
 def i08(t):
-    d = t("documents").select("doc_id", "text", F.col("doc_id").cast("string").alias("source"), F.lit(0.0).alias("mtime"), F.col("n_chars").alias("size"), F.lit(1).alias("chunk_count"))
-    parsed = d.where("doc_id % 4 = 1").withColumns({"status": F.when(F.col("doc_id") % 10 == 3, "error").otherwise("ok"), "content_hash": sync.content_hash(F.col("text"))})
-    kept = d.where("doc_id % 4 = 2").withColumn("content_hash", F.lit("kept"))
+    old, new = _snapshots(t)
+    status = sync.diff(new, old)
+    kept = status.where("status = 'unchanged'").select("source", "mtime", "size", F.lit("kept").alias("content_hash"), F.lit(1).alias("chunk_count"))
+    parsed = _parsed(t, status).join(status.select("source", "mtime", "size"), "source").withColumn("content_hash", sync.content_hash(F.col("text")))
     return sync.next_manifest(parsed, kept).select("source", "size", "content_hash")
 
 
 @query("i04_ingest_stats", f"SELECT (SELECT count(*) FROM {_NEW}) AS files_found, (SELECT count(*) FROM {_NEW} n JOIN {_OLD} o USING (source, mtime, size)) AS files_skipped, (SELECT count(*) FROM {_PARSED} WHERE status = 'ok') AS files_extracted, (SELECT sum(length(text))::BIGINT FROM {_PARSED} WHERE status = 'ok') AS total_chars, (SELECT count(*) FROM {_OLD} WHERE source NOT IN (SELECT source FROM {_NEW})) AS files_deleted, (SELECT count(*) FROM {_PARSED} WHERE status = 'error') AS errors")
 def i04(t):
     old, new = _snapshots(t)
-    parsed = t("documents").where("doc_id % 4 = 1").select(F.col("doc_id").cast("string").alias("source"), "text", F.lit(1).alias("chunk_count"), F.when(F.col("doc_id") % 10 == 3, "error").otherwise("ok").alias("status"))
-    r = sync.stats(sync.diff(new, old), parsed, sync.deleted(new, old))
+    status = sync.diff(new, old)
+    r = sync.stats(status, _parsed(t, status), sync.deleted(new, old))
     return r.select("files_found", F.col("files_skipped").cast("long").alias("files_skipped"), "files_extracted", "total_chars", "files_deleted", F.size("errors").cast("long").alias("errors"))
 
 
@@ -307,16 +317,16 @@ def g03e(t):
     return graph.endpoints(_edges(t))
 
 
-@query("g04_delete_entity", f"SELECT source, target FROM {_EDGES} WHERE lower(source) <> 'building' AND lower(target) NOT IN ('building', 'france')")
+@query("g04_delete_entity", f"SELECT source, target FROM {_EDGES} WHERE lower(source) <> 'building' AND lower(target) NOT IN ('building', 'nation_3')")
 def g04(t):
-    gone = t("nation").limit(1).select(F.explode(F.array(F.lit("Building "), F.lit("FRANCE"))).alias("name"))
+    gone = t("nation").limit(1).select(F.explode(F.array(F.lit("Building "), F.lit("NATION_3"))).alias("name"))
     obs = graph.observations(_calls(t))
     return graph.delete_entities(graph.upsert_entities(_calls(t)), _edges(t), obs, gone)[1].select("source", "target")
 
 
-@query("g05_get_entity", f"SELECT ord, text FROM {_OBS} WHERE key = 'france'")
+@query("g05_get_entity", f"SELECT ord, text FROM {_OBS} WHERE key = 'nation_3'")
 def g05(t):
-    return graph.observations(_calls(t)).where(F.col("key") == graph.key_of(F.lit(" France "))).select("ord", "text")
+    return graph.observations(_calls(t)).where(F.col("key") == graph.key_of(F.lit(" Nation_3 "))).select("ord", "text")
 
 
 @query("g06_observation_ids", f"SELECT substr(md5(key || '|' || text), 1, 16) AS id, key AS entity FROM {_OBS}")

@@ -48,14 +48,16 @@ def c16(t):
 
 def _rule(name: str) -> None:
     short = {"c01": "blocks", "c02": "comments", "c03": "tags", "c04": "entities", "c05": "urls", "c06": "mail", "c07": "controls", "c08": "spaces", "c09": "zero_width", "c10": "blanks"}[name]
-    # characters that the tables lack are mixed in on both sides
-    mixed = "concat(html, chr(7), 'a', chr(8203), 'b', chr(8195), 'see https://x.y/z?q=1 or me@x.org, ', chr(9), chr(9), text)"
-    spark = "concat(html, chr(7), 'a', decode(unhex('E2808B'), 'UTF-8'), 'b', decode(unhex('E28083'), 'UTF-8'), 'see https://x.y/z?q=1 or me@x.org, ', chr(9), chr(9), text)"
+    # characters that the tables lack follow each text
+    odd = "chr(7), 'a', {0}, 'b', {1}, 'see https://x.y/z?q=1 or me@x.org, ', chr(9), chr(9), '&amp;&#12;&#xAf; <!-- c --><script>x</script><b>y</b>'"
+    sql, spark = odd.format("chr(8203)", "chr(8195)"), odd.format("decode(unhex('E2808B'), 'UTF-8')", "decode(unhex('E28083'), 'UTF-8')")
+    both = f"(SELECT 'page' AS kind, page_id AS id, concat(html, {sql}) AS x FROM pages UNION ALL SELECT 'document', doc_id, concat(text, {sql}) FROM documents)"
 
-    @query(f"{name}_{short}", f"SELECT page_id, md5({X.rule_sql('x', name)}) AS h FROM (SELECT page_id, {mixed} AS x FROM pages JOIN documents ON page_id = doc_id)")
+    @query(f"{name}_{short}", f"SELECT kind, id, md5({X.rule_sql('x', name)}) AS h FROM {both}")
     def run(t):
-        rows = t("pages").join(t("documents"), F.col("page_id") == F.col("doc_id")).select("page_id", F.expr(spark).alias("x"))
-        return rows.select("page_id", F.md5(X.apply_rule(F.col("x"), name)).alias("h"))
+        rows = t("pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.expr(f"concat(html, {spark})").alias("x"))
+        rows = rows.union(t("documents").select(F.lit("document"), "doc_id", F.expr(f"concat(text, {spark})")))
+        return rows.select("kind", "id", F.md5(X.apply_rule(F.col("x"), name)).alias("h"))
 
 
 for _name in X.RULES:
@@ -111,12 +113,14 @@ def k01(t):
     return t("documents").select("doc_id", X.estimate_tokens(F.expr(_CJK)).alias("tokens"))
 
 
-_CUT = "substr(text, 1, cast(doc_id % 7 AS INT))"
+#: Whole texts, and beside them texts of no and of few characters.
+_TINY = "text, '', 'a', '汉', 'ab汉'"
 
 
-@query("k02_token_count", f"SELECT doc_id, CASE WHEN length(x) = 0 THEN 0 ELSE greatest({X.tokens_sql('x')}, 1) END AS tokens FROM (SELECT doc_id, {_CUT} AS x FROM documents)")
+@query("k02_token_count", f"SELECT doc_id, x = text AS whole, CASE WHEN length(x) = 0 THEN 0 ELSE greatest({X.tokens_sql('x')}, 1) END AS tokens FROM (SELECT doc_id, text, unnest([{_TINY}]) AS x FROM documents)")
 def k02(t):
-    return t("documents").select("doc_id", X.token_count(F.expr(_CUT)).alias("tokens"))
+    rows = t("documents").select("doc_id", "text", F.explode(F.expr(f"array({_TINY})")).alias("x"))
+    return rows.select("doc_id", (F.col("x") == F.col("text")).alias("whole"), X.token_count(F.col("x")).alias("tokens"))
 
 
 @query("k17_agent_tokens", f"SELECT doc_id, {X.agent_tokens_sql('x')} AS tokens FROM (SELECT doc_id, {_CJK} AS x FROM documents)")

@@ -21,11 +21,13 @@ from loomwright.operators import chunk as K
 from loomwright.operators import conversation as H
 from loomwright.operators import deps, graph, retrieve, skills, sync
 from loomwright.operators.memory import DailyFacts, FactStore, KeyValueStore, append_summary, prompt
+from loomwright.functions.vectors import BigramEmbedding, ModelScorer
+from loomwright.plans import index
 from loomwright.plans.engine import Engine
-from loomwright.sinks.tables import VersionedTable
+from loomwright.sinks.tables import Conflict, VersionedTable
 from loomwright.sources import parsers, scan
 from loomwright.streaming import ingest as S
-from loomwright.tools import Registry, Tool, file_tools, inside, memory_tools, parse_args, retrieval_tools, table_tools
+from loomwright.tools import Graph, Registry, SkillIndex, Tool, file_tools, graph_tools, inside, memory_tools, parse_args, retrieval_tools, skill_tools, table_tools, web_tools
 
 
 def one(spark, value, f):
@@ -412,3 +414,118 @@ def test_tools(spark, tmp_path):
     assert r.execute("memory_graph", {"op": "snapshot"}).success and not r.execute("memory_graph", {"op": "x"}).success
     r.register(Tool("boom", "", lambda: 1 / 0))
     assert "ZeroDivisionError" in r.execute("boom").error and len(r.schemas()) == len(r.names())
+
+
+def test_tables_survive_crashes_and_other_writers(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/t"
+    schema = "source string, n long"
+    make = lambda *rows: spark.createDataFrame(list(rows), schema)
+    table = VersionedTable(spark, root, make(("a", 1)).schema)
+    assert table.version() == 0 and table.read().count() == 0
+    table.commit(make(*[(f"s{i}", i) for i in range(40)]))
+    before = table._folders(1)
+    table.replace_by_source(make(("s3", 100)))
+    after = table._folders(2)
+    assert sum(before[b] != after[b] for b in before) == 1  # one bucket is written, the others stay
+    assert {r["source"]: r["n"] for r in table.read().collect()} == {f"s{i}": 100 if i == 3 else i for i in range(40)}
+    # a crash before the commit leaves what was there
+    with monkeypatch.context() as m:
+        m.setattr(VersionedTable, "_publish", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            table.commit(make(("x", 1)))
+    (tmp_path / "t/commits/.half").write_text("{")
+    assert table.version() == 2 and table.read().count() == 40
+    # two writers from one version: the second begins again, a plain commit fails
+    write, other = VersionedTable._write, VersionedTable(spark, root, table.schema)
+    with monkeypatch.context() as m:
+        done = []
+
+        def late(self, rows):
+            out = write(self, rows)
+            if self is table and not done:
+                done.append(other.replace_by_source(make(("s4", 400))))
+            return out
+
+        m.setattr(VersionedTable, "_write", late)
+        table.replace_by_source(make(("s5", 500)))
+        done.clear()
+        with pytest.raises(Conflict):
+            table.commit(make(("x", 1)))
+    got = {r["source"]: r["n"] for r in table.read().collect()}
+    assert got["s4"] == 400 and got["s5"] == 500 and len(got) == 40
+    table.delete_by_source("s5")
+    table.vacuum()
+    assert table.read().count() == 39
+    table.clear()
+    assert table.read().count() == 0
+
+
+def test_indexed_search_is_the_scan(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"s{i % 3}", " ".join(["cat", "dog", "bird"][j % 3] for j in range(i % 7 + i % 2))) for i in range(30)], "id long, source string, text string")
+    rows.write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    found = index.of_table(rows, "id")
+    for where in (None, F.col("source").contains("1")):
+        want = {r["id"]: round(r["score"], 9) for r in retrieve.bm25(rows if where is None else rows.where(where), ["cat", "bird", "cow"], "id").collect()}
+        assert {int(r["id"]): round(r["score"], 9) for r in found.search(["cat", "bird", "cow"], where).collect()} == want
+    assert found.search([]).count() == 0
+    plan = found.search(["cat"])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "cat" in plan
+
+
+def test_scorer_and_fallback(spark):
+    rows = spark.createDataFrame([(i, "x" * i, 2.0 - i / 10, i) for i in range(8)], "id int, text string, score double, merged int")
+    good = ModelScorer(lambda: lambda q, texts: [len(t) - 4.0 for t in texts], "length")
+    got = retrieve.rerank_or_fallback(rows, good.scores("q", F.col("text")), 3).collect()
+    assert [r["id"] for r in got] == [7, 6, 5] and abs(got[0]["rerank_score"] - 1 / (1 + 2.718281828459045**-3)) < 1e-9
+    low = retrieve.rerank_or_fallback(rows, good.scores("q", F.col("text")), 3, least=0.999).select("id").collect()
+    bad = ModelScorer(lambda: 1 / 0, "broken")
+    plain = retrieve.rerank_fallback(rows, 3).select("id").collect()
+    assert retrieve.rerank_or_fallback(rows, bad.scores("q", F.col("text")), 3).select("id").collect() == plain == low
+    assert bad.state() == "idle" and bad.model() is None and bad.state() == "failed" and good.model() and good.state() == "done"
+
+
+def test_semantic_chunks_and_chain(spark):
+    text = "Cats sleep all day long here. Cats sleep all day long too. Rockets fly to the moon fast. Rockets fly to the moon again. "
+    docs = spark.createDataFrame([("a", text), ("b", " \n"), ("c", None)], "source string, text string")
+    embed = BigramEmbedding().documents
+    parts = K.semantic(docs, "source", "text", embed, 0.7).orderBy("chunk_index").collect()
+    assert [r["text"].count(".") for r in parts] == [2, 2]
+    whole = {r["source"]: r["chunks"] for r in K.semantic_chunks(docs, "source", "text", embed, 800, 5, 0.0, 0).collect()}
+    assert whole["a"] == [r["text"] for r in parts]
+    chain = {r["source"]: (r["strategy"], r["chunks"]) for r in K.with_fallback(docs, "source", "text", embed).collect()}
+    assert chain["a"][0] == "hybrid" and chain["a"][1] and not chain["b"][1] and not chain["c"][1]
+
+
+def test_tool_calls_count(spark):
+    schema = "conv_id long, turn long, role string, text string, tool_calls array<struct<id:string,name:string,arguments:string>>"
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"m{i}", [("c", "search", "{}")] if i == 1 else None) for i in range(12)]
+    m = spark.createDataFrame(rows, schema)
+    assert H.totals(m).first()["tokens"] > H.totals(m.drop("tool_calls")).first()["tokens"]
+    said = H.shrink(m).where("turn = -1").first()["text"]
+    assert said.startswith("用户请求: m0 | m2") and said.endswith("; 调用过的工具: search")
+
+
+def test_graph_store_and_skill_index(spark, tmp_path):
+    r = Registry()
+    graph_tools(Graph(spark, f"file://{tmp_path}/g"), r)
+    call = lambda **a: r.execute("memory_graph", a)
+    assert json.loads(call(op="create_entity", name="Ann", entity_type="person", observations=["likes tea", " "]).output) == {"added": 1}
+    assert json.loads(call(op="add_observations", name="ann", observations=["likes tea", "is tall"]).output) == {"added": 1}
+    assert call(op="create_relation", source="Ann", target="Bob", label="knows").output == "created" and call(op="create_relation", source="ann", target="BOB", label="Knows").output.startswith("duplicate")
+    assert json.loads(call(op="get_entity", name="ANN").output) == {"name": "Ann", "type": "person", "observations": ["likes tea", "is tall"]}
+    assert json.loads(call(op="list_entities").output) == ["Ann (person) [2]", "Bob (?) [0]"]
+    assert call(op="snapshot").output == "- Ann (person): likes tea; is tall\n- Ann --[knows]--> Bob"
+    assert call(op="delete_entity", name="bob").output == "deleted" and call(op="snapshot").output == "- Ann (person): likes tea; is tall"
+    assert not call(op="create_entity").success and not call(op="x").success and call(op="clear").output == "cleared" and call(op="snapshot").output == "(empty)"
+    for name in ("tea", "run"):
+        (tmp_path / "skills" / name).mkdir(parents=True)
+        (tmp_path / "skills" / name / "SKILL.md").write_text(f"---\nname: {name}\ndescription: how to {name}\n---\n## Examples\nmake {name}\n")
+    found = SkillIndex(spark, f"{tmp_path}/skills", f"file://{tmp_path}/state", BigramEmbedding())
+    assert found.ensure() == {"added": 2} and found.ensure() == {}
+    skill_tools(found, r)
+    assert "tea" in r.execute("skill_semantic_search", {"query": "how to tea"}).output and not r.execute("skill_semantic_search", {"query": " "}).success
+    (tmp_path / "skills/run/SKILL.md").unlink()
+    assert found.ensure() == {"removed": 1}
+    web_tools(spark, r, lambda url: (404, "") if "no" in url else (200, "<p>hi</p><script>x</script>\n\n<b>you</b>"))
+    assert r.execute("web_scan", {"url": "http://a"}).output == "hi\nyou" and "404" in r.execute("web_scan", {"url": "http://no"}).error and "<p>" in r.execute("web_scan", {"url": "http://a", "raw": True}).output
