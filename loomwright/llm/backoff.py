@@ -40,7 +40,7 @@ from . import store
 from . import words as W
 
 ALPHA = 0.4
-ROUNDS = 4
+ROUNDS = 3
 START = W.U64(0x5354415254)
 #: Documents in which frequent n-grams are looked for, at least, and how often they must stand there.
 SAMPLE, FREQUENT = 16_384, 64
