@@ -216,6 +216,48 @@ def test_jaccard_recall_with_differing_long_tokens(spark):
     assert got <= set(true) and len(got) >= 0.95 * len(true)
 
 
+def near_threshold(rng, least, most):
+    """Pairs of texts around the threshold, alike by frequent passages alone."""
+    shared = [prose(rng, 12) for _ in range(60)]
+    texts = []
+    for _ in range(150):
+        w = [x for p in rng.sample(shared, rng.randint(6, 20)) for x in p]
+        own = rng.randint(least * len(w) // 100, most * len(w) // 100)
+        texts += [" ".join(prose(rng, own // 2) + w + prose(rng, own - own // 2)) for _ in range(2)]
+    return texts
+
+
+def excerpts(rng, pairs=6, lines=400):
+    """Lines, and pairs of texts made of the same lines with a word of their own between them."""
+    books = [[prose(rng, 8) for _ in range(lines)] for _ in range(pairs)]
+    texts = [" ".join(line) for book in books for line in book]
+    return texts + [" ".join(w for line in book for w in [*line, f"{rng.random()}"]) for book in books for _ in range(2)]
+
+
+def test_jaccard_finds_every_pair(spark):
+    """No link is left out, of pairs that barely reach the threshold and of those alike by lines of many others."""
+    rng = random.Random(41)
+    texts = excerpts(rng) + near_threshold(rng, 25, 52)
+    true = jaccard_by_hand(texts)
+    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in jaccard.pairs(table(spark, texts)).collect()}
+    assert len(true) > 100 and sum(j < 0.55 for j in true.values()) > 20
+    assert set(got) == set(true) and all(abs(true[p] - j) < 1e-12 for p, j in got.items())
+
+
+def test_jaccard_in_parts(spark, monkeypatch):
+    """Many parts and slices, ids of any sign and distance, frequent grams: the same pairs."""
+    rng = random.Random(43)
+    texts = near_threshold(rng, 25, 52) + ["a b c d"] * 3 + ["a b", "a b ", "a"]
+    ids = [rng.choice([k, -k - 1, k << 40, k - (1 << 63), (1 << 63) - 1 - k]) for k in range(len(texts))]
+    ids = dict(enumerate(dict.fromkeys(ids)))
+    assert len(ids) == len(texts)
+    monkeypatch.setattr(jaccard, "PART", 1 << 14)
+    monkeypatch.setattr(jaccard, "SLICE", 1 << 12)
+    got = jaccard.classes(spark.createDataFrame([(ids[k], t) for k, t in enumerate(texts)], "doc_id long, text string")).collect()
+    links = collections.Counter(ids[x] for p in jaccard_by_hand(texts) for x in p)
+    assert {r["doc_id"]: r["links"] for r in got} == dict(links)
+
+
 def test_bpe_is_the_public_encoding(spark, corpus):
     from tokenizers import Tokenizer
 
