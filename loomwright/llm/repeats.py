@@ -34,6 +34,8 @@ from . import words as W
 SEED = 24
 #: Regions of an owner's group up to which they are compared in one task; larger groups are settled by the hashes of their windows.
 GROUP = 4096
+#: Words of regions that are sent on together.
+SENT = 1 << 17
 
 
 def anchors(h: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,11 +81,20 @@ def seeds(docs: DataFrame, least: int) -> DataFrame:
 
 
 def regions(docs: DataFrame, least: int) -> DataFrame:
-    """(owner, doc_id, start, words): word hashes of the regions to compare, a row for each (owner, document, region)."""
+    """(owner, doc_id, start, words): word hashes of the regions to compare, a row for each (owner, document, region).
+
+    A region is what lies within reach of the owner's own anchors, as every
+    window of ``least`` words has an anchor: a text full of passages isn't copied whole to each owner.
+    """
     reach = least - SEED
     pool = shared(docs, least).groupBy("doc_id").agg(F.array_sort(F.array_agg(F.struct("at", "owner"))).alias("marks"))
     hit = docs.select("doc_id", "text").join(pool.select("doc_id", F.col("marks.at").alias("at"), F.col("marks.owner").alias("owners")).hint("merge"), "doc_id")
 
+    def sent(rows: list[tuple]) -> pa.RecordBatch:
+        o, d, p, body = zip(*rows)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in body])]).astype(np.int32)), pa.array(np.concatenate(body)))
+        return pa.RecordBatch.from_arrays([pa.array(o, pa.int64()), pa.array(d, pa.int64()), pa.array(p, pa.int32()), lists], ["owner", "doc_id", "start", "words"])
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = W.buffers(batch["text"])
@@ -93,19 +104,23 @@ def regions(docs: DataFrame, least: int) -> DataFrame:
                 s, e, wo = W.spans(data[lo : off[b]], off[a : b + 1] - lo)
                 h = W.hashes(data[lo : off[b]], s, e)
                 out: list[tuple] = []
+                total = 0
                 for k in range(a, b):
                     at, own = ats[k].values.to_numpy(), owners[k].values.to_numpy()
+                    order = np.lexsort((at, own))
+                    at, own = at[order], own[order]
                     n = int(wo[k - a + 1] - wo[k - a])
                     left, right = np.maximum(at - reach, 0), np.minimum(at + SEED + reach, n)
-                    cut = np.flatnonzero(left[1:] > np.maximum.accumulate(right)[:-1]) + 1
+                    cut = np.flatnonzero((own[1:] != own[:-1]) | (left[1:] > right[:-1])) + 1
                     for x, y in zip([0, *cut.tolist()], [*cut.tolist(), len(at)]):
-                        p, q = int(left[x]), int(right[x:y].max())
-                        body = h[wo[k - a] + p : wo[k - a] + q].view(np.int64)
-                        out += [(o, ids[k], p, body) for o in np.unique(own[x:y]).tolist()]
+                        p, q = int(left[x]), int(right[y - 1])
+                        out.append((int(own[x]), ids[k], p, h[wo[k - a] + p : wo[k - a] + q].view(np.int64)))
+                        total += q - p
+                        if total > SENT:
+                            yield sent(out)
+                            out, total = [], 0
                 if out:
-                    o, d, p, body = zip(*out)
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in body])]).astype(np.int32)), pa.array(np.concatenate(body)))
-                    yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()), pa.array(d, pa.int64()), pa.array(p, pa.int32()), lists], ["owner", "doc_id", "start", "words"])
+                    yield sent(out)
 
     return hit.mapInArrow(apply, "owner long, doc_id long, start int, words array<long>")
 

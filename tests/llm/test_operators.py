@@ -569,3 +569,16 @@ def test_repeats_in_large_groups(spark, monkeypatch, op):
     monkeypatch.setattr(repeats, "GROUP", 5)
     got = {tuple(r) for r in op.repeated(table(spark, texts)).select("doc_id", "start_word", "n_words").collect()}
     assert got == spans_by_hand(texts, 50)
+
+
+@pytest.mark.parametrize("op", [automaton, rindex])
+def test_regions_of_a_text_full_of_passages(spark, monkeypatch, op):
+    """A text made of passages of many others sends each of them its passage, not the whole text."""
+    rng = random.Random(8)
+    passages = [prose(rng, 70) for _ in range(40)]
+    texts = [" ".join(prose(rng, 20) + p + prose(rng, 20)) for p in passages] + [" ".join(w for p in passages for w in p), " ".join(w for p in passages[::-1] for w in p)]
+    monkeypatch.setattr(repeats, "SENT", 500, raising=False)
+    docs = table(spark, texts)
+    sent = repeats.regions(docs, 50).select(F.size("words").alias("n")).collect()
+    assert sum(r["n"] for r in sent) < 10 * sum(len(t.split()) for t in texts)
+    assert {tuple(r) for r in op.repeated(docs).select("doc_id", "start_word", "n_words").collect()} == spans_by_hand(texts, 50)
