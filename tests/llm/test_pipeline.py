@@ -9,7 +9,7 @@ import pytest
 import corpus_pipeline
 from loomwright.llm import mixing
 
-from .test_operators import SCHEMA, _components, jaccard_by_hand, prose, spans_by_hand
+from .test_operators import SCHEMA, _components, excerpts, jaccard_by_hand, prose, spans_by_hand, table
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +62,11 @@ def test_run_is_the_stages(spark, stages):
     want = rows(tables[-1])
     assert {i: r["token_ids"] for i, r in got.items()} == {i: r["token_ids"] for i, r in want.items()}
     assert mixing.SHARE < 1
+
+
+def test_no_near_copy_is_left(spark):
+    """Near copies alike by lines that many others have, too."""
+    texts = excerpts(random.Random(13))
+    gone = {b for _, b in jaccard_by_hand(texts)}
+    kept = corpus_pipeline.drop_near_copies(spark, table(spark, texts), "")
+    assert len(gone) == 6 and set(rows(kept)) == set(range(len(texts))) - gone
