@@ -113,16 +113,58 @@ def _sums(name: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.bincount(name, n).astype(np.int64)
 
 
+def _narrow(c: np.ndarray, t: str) -> tuple[np.ndarray, bytes]:
+    """A column in the narrowest type that holds it and what tells so: the width, for i8 the value that stands for 0."""
+    if t == "u4":
+        c = c.astype("u1" if c.max(initial=0) < 256 else "u4")
+        return c, bytes([c.itemsize])
+    low, high = (int(c.min()), int(c.max())) if len(c) else (0, 0)
+    reach = high - low
+    if reach >> 32:
+        return c.astype("i8"), bytes([8]) + bytes(8)
+    c = (c - low).astype("u2" if reach < 1 << 16 else "u4")
+    return c, bytes([c.itemsize]) + low.to_bytes(8, "little", signed=True)
+
+
 def blocks(kind: int, part: np.ndarray, parts: int, *columns: np.ndarray) -> pa.RecordBatch:
-    """The rows as blocks, one for each partition that has any; ``part`` is a hash."""
+    """The rows as blocks, one for each partition that has any; ``part`` is a hash.
+
+    A block starts with what :func:`_narrow` tells of its u4 and i8 columns.
+    """
     part = (part % W.U64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.uint32)
     order = np.argsort(part, kind="stable")
     used, first = np.unique(part[order], return_index=True)
-    cols = [c.astype(t, copy=False)[order] for c, t in zip(columns, COLUMNS[kind].split())]
-    rows = [b"".join([c[u:v].tobytes() for c in cols]) for u, v in zip(first.tolist(), [*first[1:].tolist(), len(part)])]
+    head, cols = b"", []
+    for c, t in zip(columns, COLUMNS[kind].split()):
+        c = c.astype(t, copy=False)
+        if t in ("u4", "i8"):
+            c, told = _narrow(c, t)
+            head += told
+        cols.append(c[order])
+    rows = [b"".join([head, *(c[u:v].tobytes() for c in cols)]) for u, v in zip(first.tolist(), [*first[1:].tolist(), len(part)])]
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(used), kind, np.int32)), pa.array(used.astype(np.int32)), pa.array(rows, pa.binary())], ["kind", "part", "rows"])
 
 
+def unpacked(types: list[str], block: bytes) -> list[np.ndarray]:
+    """The columns of a block."""
+    at, form = 0, []
+    for t in types:
+        low = 0
+        if t == "u4":
+            t, at = f"u{block[at]}", at + 1
+        elif t == "i8":
+            low = int.from_bytes(block[at + 1 : at + 9], "little", signed=True)
+            t, at = ("i8" if block[at] == 8 else f"u{block[at]}"), at + 9
+        form.append((t, int(t[1]), low))
+    n = (len(block) - at) // sum(wide for _, wide, _ in form)
+    out = []
+    for asked, (t, wide, low) in zip(types, form):
+        c = np.frombuffer(block, t, n, at)
+        out.append(c if t == asked else c.astype(asked) + low if low else c.astype(asked))
+        at += n * wide
+    return out
+
+
 def gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, list[np.ndarray]]:
     """Columns by kind of all blocks of a task, which the number of partitions bounds."""
     got: dict[int, list[bytes]] = {}
@@ -131,14 +173,11 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, list[np.ndarray]]:
             got.setdefault(k, []).append(r)
     out = {}
     for k, rows in got.items():
-        types = [np.dtype(t) for t in COLUMNS[k].split()]
-        wide = sum(t.itemsize for t in types)
+        types = COLUMNS[k].split()
         lists: list[list[np.ndarray]] = [[] for _ in types]
         for r in rows:
-            n, at = len(r) // wide, 0
-            for c, t in zip(lists, types):
-                c.append(np.frombuffer(r, t, n, at))
-                at += n * t.itemsize
+            for c, values in zip(lists, unpacked(types, r)):
+                c.append(values)
         rows.clear()
         out[k] = [np.concatenate(c) for c in lists]
     return out
@@ -214,7 +253,7 @@ def counted(docs: DataFrame, names: np.ndarray, parts: int) -> DataFrame:
             first, name = groups(g)
             n = _sums(name, n)
             b = blocks(kind, g[first], parts, g[first], n)
-            total = [int(np.frombuffer(r, np.int64)[len(r) // 16 :].sum()) for r in b["rows"].to_pylist()]
+            total = [int(unpacked(COLUMNS[kind].split(), r)[1].sum()) for r in b["rows"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total, pa.int64())], [*b.schema.names, "n"])
 
     return docs.mapInArrow(apply, BLOCK).repartitionById(parts, "part").mapInArrow(add, BLOCK + ", n long")

@@ -582,3 +582,17 @@ def test_regions_of_a_text_full_of_passages(spark, monkeypatch, op):
     sent = repeats.regions(docs, 50).select(F.size("words").alias("n")).collect()
     assert sum(r["n"] for r in sent) < 10 * sum(len(t.split()) for t in texts)
     assert {tuple(r) for r in op.repeated(docs).select("doc_id", "start_word", "n_words").collect()} == spans_by_hand(texts, 50)
+
+
+def test_backoff_blocks_are_narrow():
+    """Blocks take no more bytes than their numbers need, and give back what went in."""
+    n = 1000
+    key = W.mix64(np.arange(n, dtype=np.uint64))
+    few, base = np.arange(n) % 200, np.arange(n)
+    for docs, counts, most in ((base + (1 << 60), few, 32), (base * (1 << 20) - (1 << 40), few, 34), (base - (1 << 62) * (base % 2 * 2 - 1), few * (1 << 20), 48)):
+        batch = backoff.blocks(backoff.TRIGRAM, key, 7, key, key, key, docs, counts, counts, counts, few)
+        assert sum(map(len, batch["rows"].to_pylist())) < most * n
+        got = backoff.gathered(iter([batch]))[backoff.TRIGRAM]
+        order = np.argsort(got[0])
+        for mine, want in zip(got, (key, key, key, docs, counts, counts, counts, few)):
+            assert (mine[order] == want[np.argsort(key)]).all()
