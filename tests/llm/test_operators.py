@@ -456,6 +456,51 @@ def test_bounds_hold_the_distance():
             assert d > most or edits.at_least([(s, t, most)])[0] <= d
 
 
+def test_distances_of_many_pairs_together():
+    rng = random.Random(6)
+    pairs = []
+    for k in range(300):
+        a = [rng.randint(97, 97 + rng.randint(1, 25)) for _ in range(rng.randint(1, 300) if k else 2000)]
+        b = list(a)
+        for _ in range(rng.randint(0, max(1, len(a) // 4))):
+            p = rng.randrange(len(b))
+            b[p : p + rng.randint(0, 1)] = [rng.randint(97, 0x1F600)] * rng.randint(0 if len(b) > 1 else 1, 1)
+        s, t = np.array(a, np.uint32), np.array(b, np.uint32)
+        pairs.append((s, t, int(rng.choice((0, 0.05, 0.15, 0.4)) * max(len(s), len(t)))))
+    alone = [edits.distance(*p) for p in pairs]
+    assert edits.together(pairs).tolist() == [-1 if d is None else d for d in alone]
+    assert sum(d is None for d in alone) > 50 < sum(d is not None for d in alone)
+
+
+def test_fingerprint_classes_try_few_pairs(spark, monkeypatch):
+    """Classes are those of all links, and a group of near copies isn't compared with itself in full."""
+    rng = random.Random(8)
+    texts = []
+    for size, copies in ((300, 60), (200, 3), (80, 2)):
+        base = " ".join(prose(rng, size))
+        for _ in range(copies):
+            t = list(base)
+            for _ in range(rng.randint(1, len(t) // 12)):
+                t[rng.randrange(len(t))] = rng.choice("abcdef")
+            texts.append("".join(t))
+    texts += [texts[5], texts[64], " ".join(prose(rng, 100))]
+    docs = table(spark, texts)
+    links = [(r["doc_a"], r["doc_b"]) for r in edits.near(docs).collect()]
+    want = {k: k for k in range(len(texts))}
+    for _ in texts:
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    on = {i for p in links for i in p}
+    asked = []
+    within = edits._within
+    monkeypatch.setattr(edits, "_within", lambda docs, pairs, *rest: (asked.append(pairs.count()), within(docs, pairs, *rest))[1])
+    got = {r["doc_id"]: (r["class_id"], r["same_as"]) for r in edits.classes(docs).collect()}
+    assert {k: c for k, (c, _) in got.items()} == {k: want[k] for k in on}
+    assert got[65] == (want[65], 5) and got[66] == (want[66], 64)
+    assert sum(asked) < 300 < len(links)
+    assert edits.classes(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
 def test_fingerprints(spark, corpus):
     rng = random.Random(2)
     texts = [" ".join(prose(rng, rng.randint(60, 400))) for _ in range(120)]
