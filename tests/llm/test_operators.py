@@ -456,6 +456,27 @@ def test_bounds_hold_the_distance():
             assert d > most or edits.at_least([(s, t, most)])[0] <= d
 
 
+def test_members_reached_without_all_pairs(monkeypatch):
+    rng = np.random.default_rng(3)
+    done = []
+    common = jaccard.Lists.common
+    monkeypatch.setattr(jaccard.Lists, "common", lambda self, a, b, c, d: (done.append((b - a) * (d - c)), common(self, a, b, c, d))[1])
+    for copies, most in ((400, 0.1), (12, 1)):
+        sets = []
+        for _ in range(4 if copies < 400 else 1):
+            base = rng.integers(0, 1 << 40, 60)
+            for _ in range(copies):
+                other = rng.random(60) < rng.uniform(0, 0.3 if copies == 400 else 0.5)
+                sets.append(np.unique(np.where(other, rng.integers(0, 1 << 40, 60), base)))
+        size = np.array([len(s) for s in sets])
+        all_ = [np.concatenate(x) for x in list(zip(*jaccard.similar(sets, size, [np.zeros(0, np.int64)] * len(sets), None, 0.5)))[:2]]
+        done.clear()
+        some = [np.concatenate(x) for x in zip(*jaccard.reached(sets, size, 0.5, block=16))]
+        assert sum(done) < most * len(sets) ** 2
+        assert {tuple(sorted(p)) for p in zip(*some)} <= set(zip(*all_))
+        assert (jaccard.roots(len(sets), *some) == jaccard.roots(len(sets), *all_)).all()
+
+
 def test_distances_of_many_pairs_together():
     rng = random.Random(6)
     pairs = []
