@@ -477,6 +477,33 @@ def test_members_reached_without_all_pairs(monkeypatch):
         assert (jaccard.roots(len(sets), *some) == jaccard.roots(len(sets), *all_)).all()
 
 
+def test_links_counted_without_all_pairs(monkeypatch):
+    rng = np.random.default_rng(5)
+    done = []
+    common = jaccard.Lists.common
+    monkeypatch.setattr(jaccard.Lists, "common", lambda self, a, b, c, d: (done.append((b - a) * (d - c)), common(self, a, b, c, d))[1])
+    for n, most in ((600, 0.2), (80, 1)):
+        base = rng.integers(0, 1 << 40, 60)
+        sets = []
+        for _ in range(n):
+            other = rng.random(60) < rng.exponential(0.06 if n == 600 else 0.3)
+            sets.append(np.unique(np.where(other, rng.integers(0, 100, 60) + 100 * np.arange(60), base)))
+        size = np.array([len(s) for s in sets])
+        none = [np.zeros(0, np.int64)] * n
+        some = [rng.choice(3, rng.integers(0, 2)).astype(np.int64) if k > n // 2 else none[k] for k in range(n)]
+        copies = rng.integers(1, 5, n)
+        for groups in (none, some):
+            for side in (None, rng.integers(3, 5, n)):
+                p, q, _ = (np.concatenate(x) for x in zip(*jaccard.similar(sets, size, groups, side, 0.5)))
+                done.clear()
+                links, low = jaccard.linked(sets, size, groups, side, copies, 0.5, block=16)
+                assert 0 < len(p) < n * (n - 1) / 2
+                assert links.tolist() == (np.bincount(p, copies[q], n) + np.bincount(q, copies[p], n)).tolist()
+                assert (low == jaccard.roots(n, p, q)).all()
+                if groups is none:
+                    assert sum(done) < most * n**2
+
+
 def test_distances_of_many_pairs_together():
     rng = random.Random(6)
     pairs = []
