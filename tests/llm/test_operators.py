@@ -456,6 +456,35 @@ def test_bounds_hold_the_distance():
             assert d > most or edits.at_least([(s, t, most)])[0] <= d
 
 
+def test_distances_left_by_their_bounds(monkeypatch):
+    rng = random.Random(8)
+    pairs = []
+    for k in range(160):
+        a = [rng.randint(97, 97 + rng.randint(2, 25)) for _ in range(rng.randint(300, 700))]
+        b = list(a)
+        for _ in range(int(len(a) * rng.choice([0.03, 0.15, 0.25, 0.5]))):
+            b[rng.randrange(len(b))] = rng.randint(97, 122)
+        if k % 4 == 0:
+            b = b[k // 4 :] + b[: rng.randint(0, k // 4)]
+        if k % 5 == 0:
+            b = rng.sample(b, len(b))
+        pairs.append((np.array(a, np.uint32), np.array(b, np.uint32), int(rng.choice([0.1, 0.15, 0.3]) * max(len(a), len(b)))))
+    alone = [edits._columns(*p) for p in pairs]
+    assert 20 < sum(e is None for e in alone) < 140
+    assert edits._wave(pairs).tolist() == [-1 if e is None else e for e in alone]
+    for (a, b, most), e in zip(pairs, alone):
+        assert e is None or not edits.apart(a, b, most, {}, {})
+        assert edits.at_most(a, edits._grams(a, 24), b, edits._grams(b, 24), 24) >= edits.distance(a, b, 10_000)
+    assert sum(edits.apart(a, b, most, {}, {}) for a, b, most in pairs) > 20
+    # most cells of pairs far apart aren't worked out
+    steps = []
+    count = np.bitwise_and
+    monkeypatch.setattr(np, "bitwise_and", lambda *a, **k: (steps.append(a[0].size), count(*a, **k))[1])
+    far = [(a, b, 10 + int(0.15 * len(a))) for a, b in ((np.array([rng.randint(97, 122) for _ in range(3000)], np.uint32) for _ in range(2)) for _ in range(8))]
+    assert (edits._wave(far) == -1).all()
+    assert sum(steps) < 8 * 3000 * 4
+
+
 def test_members_reached_without_all_pairs(monkeypatch):
     rng = np.random.default_rng(3)
     done = []
