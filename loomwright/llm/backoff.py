@@ -211,6 +211,24 @@ def frequent(docs: DataFrame, n_docs: int) -> np.ndarray:
     return np.sort(found.view(np.uint64))
 
 
+def known(hot: Table, x: np.ndarray, y: np.ndarray, z: np.ndarray, first: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Those of :func:`_names` that are in the table; ``first`` and ``name`` are the groups of ``z``.
+
+    A name that is frequent has frequent parts, so only words after a frequent
+    one are looked at, and trigrams only where context and bigram are frequent.
+    """
+    after = np.zeros(len(z), bool)
+    after[1:] = (hot.look(_context(z[first])) > 0)[name[:-1]]
+    after[y == START] = hot.look(_context(np.array([START])))[0] > 0
+    at = np.flatnonzero(after)
+    x, y, z = x[at], y[at], z[at]
+    xy, yz = join(x, y), join(y, z)
+    context = _context(xy)
+    c, b = hot.look(context) > 0, hot.look(yz) > 0
+    xyz = join(xy[c & b], z[c & b])
+    return np.concatenate([_context(y), context[c], yz[b], xyz[hot.look(xyz) > 0]])
+
+
 class Table:
     """Counts by name; a table of the names' high bits turns away most names that it hasn't."""
 
@@ -242,8 +260,7 @@ def counted(docs: DataFrame, names: np.ndarray, parts: int) -> DataFrame:
                 first, name = groups(z)
                 yield blocks(WORD_COUNT, z[first], parts, z[first], np.bincount(name))
                 if len(shared.value):
-                    g = _names(x, y, z)
-                    g = g[hot.look(g) > 0]
+                    g = known(hot, x, y, z, first, name)
                     if len(g):
                         first, name = groups(g)
                         yield blocks(GRAM_COUNT, g[first], parts, g[first], np.bincount(name))

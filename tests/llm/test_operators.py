@@ -456,6 +456,39 @@ def test_bounds_hold_the_distance():
             assert d > most or edits.at_least([(s, t, most)])[0] <= d
 
 
+def test_words_hashed_in_pieces(monkeypatch):
+    rng = random.Random(9)
+    data = np.frombuffer(" ".join("ab\u00e9"[rng.randrange(3)] * rng.randint(1, 90) for _ in range(3000)).encode(), np.uint8)
+    s, e, _ = W.spans(data, np.array([0, len(data)]))
+    lengths = []
+    total = np.cumsum
+    monkeypatch.setattr(np, "cumsum", lambda a, *r, **k: (lengths.append(len(a)), total(a, *r, **k))[1])
+    whole = W.hashes(data, s, e)
+    assert len(data) > 2 * W.CHUNK >= 2 * max(lengths)
+    monkeypatch.setattr(W, "CHUNK", 64)
+    assert (W.hashes(data, s, e) == whole).all()
+    assert [int(h) for h in whole[:50]] == [int(W.hashes(data[a:b], np.array([0]), np.array([b - a]))[0]) for a, b in zip(s[:50], e[:50])]
+
+
+def test_frequent_names_are_looked_up_by_parts():
+    rng = np.random.default_rng(2)
+    for _ in range(5):
+        z = W.mix64(rng.zipf(1.3, 4000).astype(np.uint64))
+        y, x = np.full_like(z, backoff.START), np.full_like(z, backoff.START)
+        y[1:], x[2:] = z[:-1], z[:-2]
+        for k in rng.integers(0, 3998, 40):
+            y[k], x[k], x[k + 1] = backoff.START, backoff.START, backoff.START
+        g = backoff._names(x, y, z)
+        names, n = np.unique(g, return_counts=True)
+        hot = backoff.Table(names[n >= 9], n[n >= 9])
+        looked = []
+        look = hot.look
+        hot.look = lambda h: (looked.append(len(h)), look(h))[1]
+        found = backoff.known(hot, x, y, z, *backoff.groups(z))
+        assert sorted(found.tolist()) == sorted(g[look(g) > 0].tolist())
+        assert sum(looked) < 0.7 * len(g)
+
+
 def test_distances_left_by_their_bounds(monkeypatch):
     rng = random.Random(8)
     pairs = []
