@@ -6,18 +6,21 @@ document does not vouch for itself.  Trigrams score c(xyz) / c(xy), bigrams
 ``ALPHA`` c(yz) / c(y), words ``ALPHA``^2 c(z) / N.
 
 Words are exploded with their two words before (``START`` before the first).
-The rows of a document's n-grams and the count tables are partitioned by the
-hash of the context and meet there: one exchange counts and looks up the
-trigrams; what they leave goes to the bigram counts, and what those leave to the
-word counts.  Rows of one partition travel as one block of columns (a row of
-the exchange for each slice of documents and partition), so neither Spark's rows
-nor its sort are paid for each n-gram.
+A document's trigrams are partitioned by the hash of their last two words: one
+exchange counts trigrams and bigrams together and tells by which a word is
+scored.  What is left to know, the count of the context or of the word, is
+asked in a second exchange, of the counts that have the same hash.  The counts
+of contexts are those of bigrams and words without the ends of documents, where
+no word follows; bigrams of one document alone are not asked for and not sent.
+Rows of one partition travel as one block of columns (a row of the exchange for
+each slice of documents and partition), so neither Spark's rows nor its sort are
+paid for each n-gram.
 
 N-grams and contexts that are frequent in a sample of documents are counted over
 all documents beforehand; that table is broadcast (the sample grows so that
 what it misses fits a task, and the table has at most 4 names for every
-``FREQUENT`` / 4 words of it), so rows of a hot context are spread by the n-gram
-and those of a hot n-gram by the document.  The corpus is worked through in
+``FREQUENT`` / 4 words of it), so rows of a hot bigram are spread by the trigram
+and those of a hot trigram by the document.  The corpus is worked through in
 ``rounds`` hash ranges of the middle word, so that disk is needed for one range
 at a time; every range sees all documents.
 
@@ -47,21 +50,25 @@ SAMPLE, FREQUENT = 16_384, 64
 #: Rows of an exchange that one task holds.
 TASK = 1_000_000
 #: Words with this share of all words are in the broadcast table.
-COMMON = 1 / 65_536
+COMMON = 1 / 1_048_576
 _A, _B = W.U64(0x9E3779B97F4A7C15), W.U64(0xC2B2AE3D27D4EB4F)
 
 #: Kinds of blocks, and the columns of each.
-TRIGRAM, BIGRAM, BIGRAM_COUNT, WORD, WORD_COUNT, GRAM_COUNT, DONE = range(7)
+TRIGRAM, ASK, CONTEXT_COUNT, ASK_WORD, LAST_COUNT, WORD, WORD_COUNT, GRAM_COUNT, DONE = range(9)
 COLUMNS = {
     TRIGRAM: "u8 u8 u8 i8 u4 u4 u4 u4",  # x and y, y, z, document, how often there, and how often there: xy, yz, y
-    BIGRAM: "u8 u8 i8 u4 u4 u4",  # y, z, document, how often there, and how often there: yz, y
-    BIGRAM_COUNT: "u8 u8 i8",  # y, yz, count
+    ASK: "u8 i8 u4 i8 u4",  # xy, document, how often there, trigram's count elsewhere, how often there: xy
+    CONTEXT_COUNT: "u8 i8",  # below 0: ends of documents
+    ASK_WORD: "u8 i8 u4 i8 u4",  # y, document, how often there, bigram's count elsewhere, how often there: y
+    LAST_COUNT: "u8 i8",  # last words of documents
     WORD: "u8 i8 u4",  # z, document, how often there
     WORD_COUNT: "u8 i8",
     GRAM_COUNT: "u8 i8",
     DONE: "i8 u4 u4 f8",  # document, words, of them backed off, their log scores
 }
 BLOCK = "kind int, part int, rows binary"
+#: Blocks of words, of what all ranges have to say before it is known, and of scores, in columns of their own, which are read alone.
+LEFT = "kind int, part int, rows binary, later binary, done binary"
 
 
 def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -207,8 +214,11 @@ def frequent(docs: DataFrame, n_docs: int) -> np.ndarray:
                 keep = n >= min(4, FREQUENT)
                 yield pa.RecordBatch.from_arrays([W.to_long(g[first[keep]]), pa.array(n[keep])], ["gram", "n"])
 
+    # the contexts at the start of a document are no bigrams or words of one, so they are always counted here
+    start = np.array([START])
+    start = _context(np.concatenate([start, join(start, start)]))
     found = part.mapInArrow(apply, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).select("gram").toArrow()["gram"].to_numpy()
-    return np.sort(found.view(np.uint64))
+    return np.union1d(found.view(np.uint64), start)
 
 
 def known(hot: Table, x: np.ndarray, y: np.ndarray, z: np.ndarray, first: np.ndarray, name: np.ndarray) -> np.ndarray:
@@ -250,15 +260,19 @@ class Table:
 
 
 def counted(docs: DataFrame, names: np.ndarray, parts: int) -> DataFrame:
-    """Blocks of the counts of all words, and of those n-grams and contexts in ``names``; ``n`` is the number of words counted."""
+    """Blocks of the counts of all words, of the ends of documents, and of those n-grams and contexts in ``names``; ``n`` is the number counted."""
     shared = docs.sparkSession.sparkContext.broadcast(names)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = Table(shared.value, np.ones(len(shared.value), np.int64))
         for batch in batches:
-            for _, x, y, z in tokens(batch):
+            for doc, x, y, z in tokens(batch):
                 first, name = groups(z)
                 yield blocks(WORD_COUNT, z[first], parts, z[first], np.bincount(name))
+                last = np.append(np.flatnonzero(doc[1:] != doc[:-1]), len(doc) - 1)
+                yield blocks(LAST_COUNT, z[last], parts, z[last], np.ones(len(last), np.int64))
+                yz = join(y[last], z[last])
+                yield blocks(CONTEXT_COUNT, yz, parts, yz, np.full(len(last), -1))
                 if len(shared.value):
                     g = known(hot, x, y, z, first, name)
                     if len(g):
@@ -288,7 +302,7 @@ def listed(counts: DataFrame, kind: int, least: float = 0) -> Table:
 
 
 def trigrams(docs: DataFrame, table, part: int, rounds: int, parts: int) -> DataFrame:
-    """Blocks of the documents' trigrams whose middle word is in range ``part``, by context; those of a hot context by trigram, of a hot trigram by document."""
+    """Blocks of the documents' trigrams whose middle word is in range ``part``, by their last two words; those of a hot bigram by trigram, of a hot trigram by document."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = table.value["grams"]
@@ -304,9 +318,8 @@ def trigrams(docs: DataFrame, table, part: int, rounds: int, parts: int) -> Data
                 order = np.argsort(first)
                 first, k = first[order], np.bincount(name)[order]
                 own, own_b, own_y = (np.bincount(n)[n[first]] for n in (groups(h ^ mine)[1] for h in (xy, yz, y)))
-                doc, xy, y, z = doc[first], xy[first], y[first], z[first]
-                key = xy.copy()
-                if len(at := np.flatnonzero(hot.look(_context(xy)))):
+                doc, xy, y, z, key = doc[first], xy[first], y[first], z[first], yz[first]
+                if len(at := np.flatnonzero(hot.look(key))):
                     g = join(xy[at], z[at])
                     key[at] = np.where(hot.look(g) > 0, _spread(doc[at]), g)
                 yield blocks(TRIGRAM, W.mix64(key), parts, xy, y, z, doc, k, own, own_b, own_y)
@@ -314,94 +327,94 @@ def trigrams(docs: DataFrame, table, part: int, rounds: int, parts: int) -> Data
     return docs.mapInArrow(apply, BLOCK)
 
 
-def _done(doc: np.ndarray, k: np.ndarray, less: bool, lp: np.ndarray, parts: int) -> pa.RecordBatch:
-    """A row for each document."""
+def _done(scored: list[tuple[np.ndarray, np.ndarray, bool, np.ndarray]], parts: int) -> pa.RecordBatch:
+    """A row for each document of (document, how often there, by less than a trigram, log score)."""
+    doc = np.concatenate([d for d, _, _, _ in scored])
     first, name = groups(_spread(doc))
-    n = _sums(name, k)
-    return blocks(DONE, _spread(doc[first]), parts, doc[first], n, n * less, np.bincount(name, k * lp))
-
-
-def _bigram_key(hot: Table, y: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return W.mix64(np.where(hot.look(_context(y)) > 0, b, y))
+    n, less = (_sums(name, np.concatenate(c)) for c in zip(*((k, k * less) for _, k, less, _ in scored)))
+    return blocks(DONE, _spread(doc[first]), parts, doc[first], n, less, np.bincount(name, np.concatenate([k * lp for _, k, _, lp in scored])))
 
 
-def score_trigrams(table, parts: int):
+def score_trigrams(table, parts: int, size: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = gathered(batches)
         if not got:
             return
-        hot = table.value["grams"]
+        hot, common = table.value["grams"], table.value["words"]
         xy, y, z, doc, k, own, own_b, own_y = got.pop(TRIGRAM)
         g = join(xy, z)
-        _, name = groups(g)
-        c3 = hot.look(g)
-        n3 = np.where(c3 > 0, c3, _sums(name, k)[name]) - k
-        del g, c3
-        hit = np.flatnonzero(n3 > 0)
-        if len(hit):
-            _, name = groups(xy)
-            c2 = hot.look(_context(xy))
-            n2 = np.where(c2 > 0, c2, _sums(name, k)[name]) - own
-            yield _done(doc[hit], k[hit], False, np.log(n3[hit] / n2[hit]), parts)
-            del c2, n2
-        # every bigram stands in trigrams, so their counts are its own
+        first, name = groups(g)
+        c = hot.look(g[first])
+        n3 = np.where(c > 0, c, _sums(name, k))[name] - k
+        del g
         b = join(y, z)
         first, name = groups(b)
-        n, one, two = _sums(name, k), y[first], b[first]
-        cold = hot.look(two) == 0
-        if cold.any():
-            yield blocks(BIGRAM_COUNT, _bigram_key(hot, one[cold], two[cold]), parts, one[cold], two[cold], n[cold])
-        m = np.flatnonzero(n3 <= 0)
-        if len(m):
-            key = np.where(hot.look(b[m]) > 0, W.mix64(_spread(doc[m])), _bigram_key(hot, y[m], b[m]))
-            yield blocks(BIGRAM, key, parts, y[m], z[m], doc[m], k[m], own_b[m], own_y[m])
+        b, n = b[first], _sums(name, k)
+        c = hot.look(b)
+        n2 = np.where(c > 0, c, n)[name] - own_b
+        # a context is asked for where another document goes on like this one, so it stands in both
+        ask = (n2[first] > 0) & (hot.look(_context(b)) == 0)
+        if ask.any():
+            yield blocks(CONTEXT_COUNT, b[ask], parts, b[ask], n[ask])
+        del first, name, b, n, c
+        scored = []
+        for kind, at, context, n, mine, alpha in ((ASK, n3 > 0, xy, n3, own, 1), (ASK_WORD, (n3 <= 0) & (n2 > 0), y, n2, own_y, ALPHA)):
+            at = np.flatnonzero(at)
+            c = hot.look(_context(context[at]))
+            ready, at = at[c > 0], at[c == 0]
+            scored.append((doc[ready], k[ready], kind == ASK_WORD, np.log(alpha * n[ready] / (c[c > 0] - mine[ready]))))
+            if len(at):
+                yield blocks(kind, context[at], parts, context[at], doc[at], k[at], n[at], mine[at])
+        at = np.flatnonzero((n3 <= 0) & (n2 <= 0))
+        c = common.look(z[at])
+        ready, at = at[c > 0], at[c == 0]
+        scored.append((doc[ready], k[ready], True, np.log(ALPHA * ALPHA * c[c > 0] / size)))
+        if len(at):
+            yield blocks(WORD, z[at], parts, z[at], doc[at], k[at])
+        yield _done(scored, parts)
 
     return apply
 
 
-def score_bigrams(table, parts: int, size: int):
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = gathered(batches)
-        if BIGRAM not in got:
-            return
-        hot, common = table.value["grams"], table.value["words"]
-        y, z, doc, k, own_b, own_y = got.pop(BIGRAM)
-        one, two, n = got.pop(BIGRAM_COUNT, [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)])
+def apart(apply):
+    """The blocks of ``apply`` as :data:`LEFT`."""
 
-        def total(name: np.ndarray, known: np.ndarray, asked: np.ndarray) -> np.ndarray:
-            if not len(n):
-                return known
-            first, at = groups(name)
-            return np.where(known > 0, known, Table(name[first], _sums(at, n)).look(asked))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in apply(batches):
+            if b.num_rows:
+                kind, part, rows = b.columns
+                columns = [pa.nulls(b.num_rows, pa.binary())] * 3
+                columns[{ASK: 1, CONTEXT_COUNT: 1, DONE: 2}.get(kind[0].as_py(), 0)] = rows
+                yield pa.RecordBatch.from_arrays([kind, part, *columns], ["kind", "part", "rows", "later", "done"])
 
-        b = join(y, z)
-        n2 = total(two, hot.look(b), b) - own_b
-        hit = np.flatnonzero(n2 > 0)
-        if len(hit):
-            n1 = total(one, hot.look(_context(y)), y) - own_y
-            yield _done(doc[hit], k[hit], True, np.log(ALPHA * n2[hit] / n1[hit]), parts)
-        m = np.flatnonzero(n2 <= 0)
-        if len(m):
-            z, doc, k = z[m], doc[m], k[m]
-            c = common.look(z)
-            ready = np.flatnonzero(c > 0)
-            if len(ready):
-                yield _done(doc[ready], k[ready], True, np.log(ALPHA * ALPHA * c[ready] / size), parts)
-            rest = np.flatnonzero(c == 0)
-            if len(rest):
-                yield blocks(WORD, z[rest], parts, z[rest], doc[rest], k[rest])
+    return run
 
-    return apply
 
+def score_rest(parts: int, size: int):
+    """Scores of the words that ask for a count, which is in the same partition."""
 
-def score_words(parts: int, size: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = gathered(batches)
-        if WORD not in got:
-            return
-        z, doc, k = got.pop(WORD)
-        names, n = got.pop(WORD_COUNT)
-        yield _done(doc, k, True, np.log(ALPHA * ALPHA * Table(names, n).look(z) / size), parts)
+
+        def total(kind: int, asked: np.ndarray) -> np.ndarray:
+            if kind not in got:
+                return np.zeros(len(asked), np.int64)
+            names, n = got[kind]
+            first, name = groups(names)
+            return Table(names[first], _sums(name, n)).look(asked)
+
+        scored = []
+        if ASK in got:
+            xy, doc, k, n, own = got.pop(ASK)
+            scored.append((doc, k, False, np.log(n / (total(CONTEXT_COUNT, xy) - own))))
+        if ASK_WORD in got:
+            y, doc, k, n, own = got.pop(ASK_WORD)
+            scored.append((doc, k, True, np.log(ALPHA * n / (total(WORD_COUNT, y) - total(LAST_COUNT, y) - own))))
+        if WORD in got:
+            z, doc, k = got.pop(WORD)
+            scored.append((doc, k, True, np.log(ALPHA * ALPHA * total(WORD_COUNT, z) / size)))
+        if scored:
+            yield _done(scored, parts)
 
     return apply
 
@@ -420,23 +433,26 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         docs = store.cut(docs.groupBy("doc_id").agg(F.array_join(F.array_sort(F.array_agg("text")), "\n").alias("text")))
     spark = docs.sparkSession
     about = docs.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-about["chars"] // (4 * rounds * TASK)))
-    counts = store.cut(counted(docs, frequent(docs, about["docs"]), parts))
+    parts, asked = (max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-about["chars"] // n)) for n in (4 * rounds * TASK, 6 * TASK))
+    counts = store.cut(counted(docs, frequent(docs, about["docs"]), asked))
     size = counts.where(F.col("kind") == WORD_COUNT).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     table = spark.sparkContext.broadcast({"grams": listed(counts, GRAM_COUNT), "words": listed(counts, WORD_COUNT, max(1, size * COMMON))})
-    words = counts.where(F.col("kind") == WORD_COUNT).select("kind", "part", "rows")
-    of = lambda df, *kinds: df.where(F.col("kind").isin(*kinds))
-    sums = []
-    for r in range(rounds):
-        with store.scope():
-            left = store.cut(trigrams(docs, table, r, rounds, parts).repartitionById(parts, "part").mapInArrow(score_trigrams(table, parts), BLOCK))
-            rest = store.cut(of(left, BIGRAM, BIGRAM_COUNT).repartitionById(parts, "part").mapInArrow(score_bigrams(table, parts, size), BLOCK))
-            last = of(rest, WORD).union(words).repartitionById(parts, "part").mapInArrow(score_words(parts, size), BLOCK)
-            done = of(left, DONE).union(of(rest, DONE)).union(last)
-            sums.append(store.cut(done.repartitionById(parts, "part").mapInArrow(_summed, "doc_id long, k long, b long, lp double"), outer=True))
-    out = sums[0]
-    for p in sums[1:]:
-        out = out.union(p)
+    of = lambda df, *kinds: df.where(F.col("kind").isin(*kinds)).select("kind", "part", "rows")
+    column = lambda df, c: df.where(F.col(c).isNotNull()).select("kind", "part", F.col(c).alias("rows"))
+    asking = lambda df: df.repartitionById(asked, "part").mapInArrow(score_rest(asked, size), BLOCK)
+    summed = lambda df: store.cut(df.repartitionById(asked, "part").mapInArrow(_summed, "doc_id long, k long, b long, lp double"), outer=True)
+    words = of(counts, WORD_COUNT, LAST_COUNT)
+    with store.scope():
+        sums, later = [], of(counts, CONTEXT_COUNT)
+        for r in range(rounds):
+            with store.scope():
+                left = store.cut(trigrams(docs, table, r, rounds, parts).repartitionById(parts, "part").mapInArrow(apart(score_trigrams(table, asked, size)), LEFT))
+                later = later.union(store.cut(column(left, "later"), outer=True))
+                sums.append(summed(column(left, "done").union(asking(column(left, "rows").union(words)))))
+        out = summed(asking(later))
+        for p in sums:
+            out = out.union(p)
+        out = store.cut(out, outer=True)
     return out.groupBy("doc_id").agg(F.sum("k").alias("n_words"), F.sum("b").alias("backed_off"), F.sum("lp").alias("log_score"))
 
 

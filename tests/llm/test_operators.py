@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -751,3 +752,37 @@ def test_backoff_blocks_are_narrow():
         order = np.argsort(got[0])
         for mine, want in zip(got, (key, key, key, docs, counts, counts, counts, few)):
             assert (mine[order] == want[np.argsort(key)]).all()
+
+
+def test_backoff_sends_no_counts_nobody_asks_for(spark, monkeypatch):
+    """Bigrams of one document alone are counted where their trigrams are, and not sent on."""
+    rng = np.random.default_rng(5)
+    docs = table(spark, [" ".join(f"w{k}" for k in rng.integers(0, 40_000, 3000)) for _ in range(20)]).cache()
+    sent, cut = [], store.cut
+
+    def counting(df, outer=False):
+        out = cut(df, outer)
+        if "rows" in out.columns and "n" not in out.columns:
+            sent.append(out.agg(F.sum(F.length("rows"))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(store, "cut", counting)
+    assert backoff.score(docs, 2).agg(F.sum("n_words")).first()[0] == 60_000
+    assert sum(sent) < 25 * 60_000
+
+
+def test_backoff_at_the_ends_of_documents(spark, monkeypatch):
+    """Contexts are counted as words and bigrams without the last ones of documents, as in the SQL."""
+    texts = ["a", "a", "a b", "b a", "a b", "a b a", "a b a b", "c a b", "b", "b b", "b b b", "c c", "x y", "x", "x y z", "z x y", "q", "a b c d e", "b c d e", "c d e f", "d e"]
+    docs = table(spark, texts).select("doc_id", "text")
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    want = {r[0]: r[1:] for r in con.sql(backoff.oracle()).fetchall()}
+    for frequent in (backoff.FREQUENT, 2, 3):
+        monkeypatch.setattr(backoff, "FREQUENT", frequent)
+        for rounds in (1, 3):
+            got = {r["doc_id"]: r for r in backoff.score(docs, rounds).collect()}
+            assert set(got) == set(want)
+            for i, (n, less, score) in want.items():
+                assert (got[i]["n_words"], got[i]["backed_off"]) == (n, less)
+                assert abs(got[i]["log_score"] / n - score) < 2e-6
