@@ -29,6 +29,12 @@ def normalize(v: Column) -> Column:
     return let(v.cast("array<double>"), scale)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` rounded as DuckDB rounds doubles: scaled first, half away from zero, and the sign stays on a zero (Spark's round drops it)."""
+    unit = float(10**digits)
+    return F.round(F.abs(x) * unit) / unit * F.signum(x)
+
+
 def similarity(a: Column, b: Column) -> Column:
     """The cosine of unit vectors, not below 0."""
     return F.greatest(F.lit(0.0), dot(a, b))

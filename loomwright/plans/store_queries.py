@@ -22,7 +22,7 @@ def _md5_sql(x: str, n: int = 16) -> str:
 @query("v03_normalize", f"SELECT vec_id, list_transform(v, lambda x: round(x * 3 / (3 * sqrt({_DOT.format('v', 'v')})), 6)) AS v FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)")
 def v03(t):
     tripled = F.transform("embedding", lambda x: x.cast("double") * 3)
-    return t("embeddings").select("vec_id", F.transform(V.normalize(tripled), lambda x: F.round(x, 6)).alias("v"))
+    return t("embeddings").select("vec_id", F.transform(V.normalize(tripled), lambda x: V.rounded(x, 6)).alias("v"))
 
 
 _FIRST = "(SELECT embedding AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))"
@@ -42,7 +42,7 @@ def v04(t):
 @query("k16_cosine", f"SELECT vec_id, round({_DOT.format('embedding', 'q')} / (sqrt({_DOT.format('embedding', 'embedding')}) * sqrt({_DOT.format('q', 'q')})), 4) AS c FROM embeddings, {_FIRST}")
 def k16(t):
     e = t("embeddings")
-    return e.select("vec_id", F.round(V.cosine(F.col("embedding"), V.literal(_query_vector(e))), 4).alias("c"))
+    return e.select("vec_id", V.rounded(V.cosine(F.col("embedding"), V.literal(_query_vector(e))), 4).alias("c"))
 
 
 @query("v07_md5_embedding", f"SELECT doc_id, list_transform({_md5_sql('text')}, lambda x: round(x, 6)) AS v FROM documents")

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomwright import schemas
+from loomwright import plans, schemas
 from loomwright.functions import outline as O
 from loomwright.functions import text as X
 from loomwright.functions import vectors as V
@@ -304,6 +304,18 @@ def test_retrieval_edges(spark):
     assert [r[0] for r in v.select(V.cosine(F.col("v"), V.literal([1, 0]))).collect()] == [0.0, 0.6]
 
 
+def test_rounding_keeps_the_sign_of_zero(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(0, [1.0, -1e-7, 1e-7, -0.0]), (1, [-0.25, 0.5, -3e-7, 0.0]), (2, [0.6, -0.8, 0.0, -4.9e-7])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("v03_normalize", "k16_cosine"):
+        got = plans.queries()[name](spark, str(tmp_path)).orderBy("vec_id").collect()
+        assert [repr(tuple(r)) for r in got] == [repr(r) for r in duckdb.sql(plans.oracle_sql()[name]).order("vec_id").fetchall()]
+    s = spark.createDataFrame([(-4e-5,), (0.00005,), (-0.00015,), (float("nan"),), (None,)], "x double")
+    assert [repr(r[0]) for r in s.select(V.rounded(F.col("x"), 4)).collect()] == ["-0.0", "0.0001", repr(duckdb.sql("SELECT round(-0.00015::DOUBLE, 4)").fetchall()[0][0]), "nan", "None"]
+
+
 def test_graph(spark):
     calls = spark.createDataFrame([(1, " Ann ", "", ["likes tea", "likes tea ", ""]), (2, "ann", "person", ["Likes tea"]), (3, "Bob", "x", [])], "seq int, name string, type string, observations array<string>")
     heads = {r["key"]: r for r in graph.upsert_entities(calls).collect()}
