@@ -6,6 +6,7 @@ Splits that need no memory are Column expressions; folds over the pieces are
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -103,9 +104,19 @@ def chunk_documents(docs: DataFrame, chunks: Column, source: str = "source") ->
     return docs.select(F.col(source).alias("source"), F.posexplode(chunks).alias("chunk_index", "text"))
 
 
+WIDE = re.compile("[\u4e00-\u9fff]")
+
+
+def _wide(s: str) -> int:
+    return 0 if s.isascii() else len(WIDE.findall(s))
+
+
+def _tokens(wide: int, n: int) -> int:
+    return wide // 2 + (n - wide) // 3
+
+
 def _cost(s: str) -> int:
-    wide = sum("\u4e00" <= c <= "\u9fff" for c in s)
-    return wide // 2 + (len(s) - wide) // 3
+    return _tokens(_wide(s), len(s))
 
 
 def _reach(text: str, at: int, step: int, full) -> int:
@@ -123,12 +134,24 @@ def _reach(text: str, at: int, step: int, full) -> int:
     return n
 
 
+def _back(text: str, end: int, back: int) -> int:
+    """Characters before ``end`` until they have ``back`` tokens."""
+    last = text[max(0, end - 3 * back) : end]
+    return len(last) if back > 0 and not _wide(last) else _reach(text, end, -1, lambda n: n >= back)
+
+
+def _ahead(text: str, at: int, size: int) -> int:
+    """Characters from ``at`` within ``size`` tokens."""
+    part = text[at : at + 3 * size + 2]
+    return len(part) if size >= 0 and not _wide(text[at : at + 3 * size + 3]) else _reach(text, at, 1, lambda n: "before" if n > size else False)
+
+
 def split_window(text: str, size: int, back: int) -> list[str]:
     """Windows within ``size``, cut after a natural break in their second half; repeats go, windows overlap by ``back``."""
     out: dict[str, None] = {}
     at = 0
     while at < len(text):
-        end = at + _reach(text, at, 1, lambda n: "before" if n > size else False)
+        end = at + _ahead(text, at, size)
         if end < len(text):
             middle = at + (end - at) // 2
             for mark in BREAKS:
@@ -141,7 +164,7 @@ def split_window(text: str, size: int, back: int) -> list[str]:
             out.setdefault(piece)
         if end >= len(text):
             break
-        at = max(end - min(end - at, _reach(text, end, -1, lambda n: n >= back)), at + 1)
+        at = max(end - min(end - at, _back(text, end, back)), at + 1)
     return list(out)
 
 
@@ -153,7 +176,7 @@ def carry_over(chunks: list[str], back: int, sep: str) -> list[str]:
     for chunk in chunks[1:]:
         last = out[-1]
         if max(_cost(last), 1) > back:
-            lead = last[len(last) - _reach(last, len(last), -1, lambda n: n >= back) :]
+            lead = last[len(last) - _back(last, len(last), back) :]
             out.append(lead + sep + chunk if lead.strip() else chunk)
         else:
             out.append(chunk)
@@ -170,15 +193,17 @@ def split_recursive(text: str, size: int = SIZE, back: int = OVERLAP, separators
         if sep not in text:
             continue
         done: list[str] = []
-        held = ""
+        held, wide, between = "", 0, _wide(sep)
         for part in text.split(sep):
-            if held and _cost(held + sep + part) <= size:
+            more = _wide(part)
+            if held and _tokens(wide + between + more, len(held) + len(sep) + len(part)) <= size:
                 held += sep + part
+                wide += between + more
                 continue
             if held.strip():
                 done.append(held)
-            if _cost(part) <= size:
-                held = part
+            if _tokens(more, len(part)) <= size:
+                held, wide = part, more
             else:
                 done += split_recursive(part, size, back, separators[k + 1 :])
                 held = ""

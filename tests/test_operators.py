@@ -115,6 +115,22 @@ def test_recursive_invariants(text, size):
     assert all(joined.count(c) >= 1 for c in set(text) - set(". \n。"))
 
 
+def test_recursive_counts_each_character_a_few_times(monkeypatch):
+    text, seen = ("a few words. " * 40 + "\n") * 200, []
+    want = K.split_recursive(text, 200, 20)
+    wide = K._wide
+    monkeypatch.setattr(K, "_wide", lambda s: (seen.append(len(s)), wide(s))[1])
+    assert K.split_recursive(text, 200, 20) == want and len(want) > 100
+    assert sum(seen) < 12 * len(text)
+
+
+@given(st.text(alphabet="ab 汉é", max_size=80), st.integers(0, 9), st.integers(0, 80))
+def test_reach_at_once_is_the_walk(text, n, at):
+    at = min(at, len(text))
+    assert K._back(text, at, n) == K._reach(text, at, -1, lambda k: k >= n)
+    assert K._ahead(text, at, n) == K._reach(text, at, 1, lambda k: "before" if k > n else False)
+
+
 def test_window_split_and_carry_over():
     assert K.split_window("abc " * 50, 10, 2)[0] == ("abc " * 8).strip()[: 32].strip()
     assert K.carry_over(["aaaaaaaaa", "b"], 2, "-") == ["aaaaaaaaa", "aaaaaa-b"]
