@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import let, words
 from ..functions.vectors import literal, similarity
 
 K1, B = 1.2, 0.75
@@ -57,10 +57,24 @@ def bm25(chunks: DataFrame, terms: list[str], key: str, text: str = "text", toke
     return hit.select(key, score.alias("score"))
 
 
+def counts(terms: Column) -> Column:
+    """(term, tf) of each term of an array, by the runs of the sorted array."""
+
+    def runs(s: Column) -> Column:
+        first = F.filter(F.transform(s, lambda x, i: F.struct(x.alias("term"), i.alias("i"))), lambda p: (p["i"] == 0) | (F.get(s, p["i"] - 1) != p["term"]))
+        end = lambda a, k: F.coalesce(F.get(a, k + 1)["i"], F.size(s))
+        return let(first, lambda a: F.transform(a, lambda p, k: F.struct(p["term"].alias("term"), (end(a, k) - p["i"]).cast("long").alias("tf"))))
+
+    return let(F.sort_array(terms), runs)
+
+
 def indexed_postings(chunks: DataFrame, key: str = "id", text: str = "text", source: str = "source", tokenize: Callable[[Column], Column] = words) -> DataFrame:
-    """(term, id, source, tf, dl) as they are stored; sorted by term, a search reads the row groups of its terms."""
+    """(term, id, source, tf, dl) as they are stored; sorted by term, a search reads the row groups of its terms.
+
+    Terms are counted in their row, so nothing is shuffled; rows of one id are added up by the search.
+    """
     tokens = chunks.select(F.col(key).cast("string").alias("id"), F.col(source).alias("source"), tokenize(F.col(text)).alias("t"))
-    counted = tokens.select("id", "source", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).groupBy("term", "id", "source", "dl").agg(F.count("*").alias("tf"))
+    counted = tokens.select("id", "source", F.size("t").cast("long").alias("dl"), F.inline(counts(F.col("t"))))
     return counted.select("term", "id", "source", "tf", "dl")
 
 
@@ -74,6 +88,7 @@ def bm25_indexed(postings: DataFrame, lengths: DataFrame, terms: list[str], wher
     if where is not None:
         postings, lengths = postings.where(where), lengths.where(where)
     hits = postings.where(F.col("term").isin(*sorted(set(terms)))) if terms else postings.limit(0)
+    hits = hits.groupBy("id", "term", "source", "dl").agg(F.sum("tf").alias("tf"))
     total = lengths.agg(F.sum("n").alias("n"), (F.sum("dl") / F.sum("n")).alias("avgdl"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     rows = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(total))  # a row for each term of the query, one row

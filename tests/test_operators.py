@@ -501,6 +501,21 @@ def test_indexed_search_is_the_scan(spark, tmp_path):
     assert "PushedFilters" in plan and "cat" in plan
 
 
+def test_postings_are_counted_in_their_row(spark, tmp_path):
+    texts = ["b a b", "", None, "c", "a a a c b a", "b a b"]
+    rows = spark.createDataFrame([(min(i, 4), "s", t) for i, t in enumerate(texts)], "id long, source string, text string")
+    rows.write.parquet(f"{tmp_path}/rows")
+    made = retrieve.indexed_postings(spark.read.parquet(f"{tmp_path}/rows"), "id")
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    want = sorted((w, str(min(i, 4)), "s", t.split().count(w), len(t.split())) for i, t in enumerate(texts) if t for w in set(t.split()))
+    assert sorted(tuple(r) for r in made.collect()) == want
+    # rows of one id and length are one document, as in the SQL
+    twice = spark.createDataFrame([("a", "1", "s", 1, 3), ("a", "1", "s", 2, 3), ("a", "2", "s", 3, 3)], schemas.POSTINGS)
+    once = spark.createDataFrame([("a", "1", "s", 3, 3), ("a", "2", "s", 3, 3)], schemas.POSTINGS)
+    lengths = spark.createDataFrame([("s", 3, 9)], schemas.LENGTHS)
+    assert sorted(retrieve.bm25_indexed(twice, lengths, ["a"]).collect()) == sorted(retrieve.bm25_indexed(once, lengths, ["a"]).collect())
+
+
 def test_scorer_and_fallback(spark):
     rows = spark.createDataFrame([(i, "x" * i, 2.0 - i / 10, i) for i in range(8)], "id int, text string, score double, merged int")
     good = ModelScorer(lambda: lambda q, texts: [len(t) - 4.0 for t in texts], "length")
